@@ -2,6 +2,7 @@
 
 from .mixing import OP2_SQL, op2_mix
 from .quality import OP6_SQL, op6_quality
+from .secrets import op7_secrets
 
-QUERIES = {f.__name__: f for f in (op2_mix, op6_quality)}
+QUERIES = {f.__name__: f for f in (op2_mix, op6_quality, op7_secrets)}
 ORACLE_SQL = {"op2_mix": OP2_SQL, "op6_quality": OP6_SQL}
