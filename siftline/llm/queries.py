@@ -1,8 +1,9 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
 from .mixing import OP2_SQL, op2_mix
+from .neardup import op9_neardup
 from .quality import OP6_SQL, op6_quality
 from .secrets import op7_secrets
 
-QUERIES = {f.__name__: f for f in (op2_mix, op6_quality, op7_secrets)}
+QUERIES = {f.__name__: f for f in (op2_mix, op6_quality, op7_secrets, op9_neardup)}
 ORACLE_SQL = {"op2_mix": OP2_SQL, "op6_quality": OP6_SQL}
