@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
+from .bpe import op8_bpe
 from .mixing import OP2_SQL, op2_mix
 from .neardup import op9_neardup
 from .quality import OP6_SQL, op6_quality
 from .secrets import op7_secrets
+from .tokenfile import op10_tokens
 
-QUERIES = {f.__name__: f for f in (op2_mix, op6_quality, op7_secrets, op9_neardup)}
+QUERIES = {f.__name__: f for f in (op2_mix, op6_quality, op7_secrets, op8_bpe, op9_neardup, op10_tokens)}
 ORACLE_SQL = {"op2_mix": OP2_SQL, "op6_quality": OP6_SQL}
