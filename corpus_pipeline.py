@@ -1,8 +1,64 @@
-"""A corpus pipeline: each stage reads what its predecessor wrote."""
+"""From raw documents to token ids: a pipeline of five of the operators in siftline.llm.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs
+of the next one. All but the last return the columns of documents. A stage that needs a second look at its input (a
+model to fit, sizes to sum) takes it from docs, so that each stage is judged on its own input alone.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.llm import bpe, mixing, neardup, quality, secrets
+from siftline.llm.common import read, shared_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a rule of the full policy go."""
+    return quality.judge(docs, quality.FULL)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates, the document of the least id stays."""
+    return neardup.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; n_chars follows the new text."""
+    found = secrets.redact(docs, secrets.learn(docs))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated so that sources weigh as the square roots of their sizes, and shuffled."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids, their number, and what they decode to."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text")), into="decoded")
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+    ("token ids", token_ids),
+]
+
+#: The near-duplicate and secret stages aren't expressible in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table; each stage's output is written to the shared folder and read back."""
+    folder, docs = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
