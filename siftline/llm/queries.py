@@ -3,11 +3,12 @@
 from .bpe import op8_bpe
 from .mixing import OP2_SQL, op2_mix
 from .neardup import op9_neardup
+from .pages import op3_pages
 from .quality import OP6_SQL, op6_quality
 from .secrets import op7_secrets
 from .substrings import op5_substrings
 from .tokenfile import op10_tokens
 from .vectors import op4_vectors
 
-QUERIES = {f.__name__: f for f in (op2_mix, op4_vectors, op5_substrings, op6_quality, op7_secrets, op8_bpe, op9_neardup, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op2_mix, op3_pages, op4_vectors, op5_substrings, op6_quality, op7_secrets, op8_bpe, op9_neardup, op10_tokens)}
 ORACLE_SQL = {"op2_mix": OP2_SQL, "op6_quality": OP6_SQL}
