@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
 from .bpe import op8_bpe
+from .maxent import op1_maxent
 from .mixing import OP2_SQL, op2_mix
 from .neardup import op9_neardup
 from .pages import op3_pages
@@ -10,5 +11,5 @@ from .substrings import op5_substrings
 from .tokenfile import op10_tokens
 from .vectors import op4_vectors
 
-QUERIES = {f.__name__: f for f in (op2_mix, op3_pages, op4_vectors, op5_substrings, op6_quality, op7_secrets, op8_bpe, op9_neardup, op10_tokens)}
+QUERIES = {f.__name__: f for f in (op1_maxent, op2_mix, op3_pages, op4_vectors, op5_substrings, op6_quality, op7_secrets, op8_bpe, op9_neardup, op10_tokens)}
 ORACLE_SQL = {"op2_mix": OP2_SQL, "op6_quality": OP6_SQL}
