@@ -94,7 +94,7 @@ def _listed(spark, sf_dir, table, template, origin="text", rules=R.TEXT_RULES) -
 def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all documents by type and rule."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = scan.scan(docs).select(F.explode("findings").alias("f")).groupBy("f.rule").agg(F.count("*").alias("n"))
+    counted = scan.scan(docs).select(F.explode_outer("findings").alias("f")).where("f IS NOT NULL").groupBy("f.rule").agg(F.count("*").alias("n"))
     kinds = F.array(*[F.struct(F.lit(r.type).alias("type"), F.lit(r.name).alias("name")) for r in R.TEXT_RULES])
     named = counted.select(F.get(kinds, F.col("rule")).alias("r"), "n")
     return named.groupBy(F.col("r.type").alias("type"), F.col("r.name").alias("rule")).agg(F.sum("n").alias("n"))

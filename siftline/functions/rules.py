@@ -16,6 +16,11 @@ class Rule:
     confidence: float = 1.0
     details: str | None = None
 
+    @property
+    def needs(self) -> tuple[str, ...]:
+        """Lower-case strings one of which every match holds; none: unknown."""
+        return NEEDS.get(self.name) or (tuple(w for w in KEYWORDS if w in self.pattern)[:1] if self.name == "sensitive_keyword" else ())
+
 
 SEVERITIES = ["info", "low", "medium", "high", "critical"]
 ACTIONS = ["allow", "warn", "redact", "ask", "block", "quarantine"]
@@ -92,6 +97,31 @@ _COMMANDS = [
 #: Paths that read as holding secrets, noted in a secret finding's details (no effect on its grade).
 SENSITIVE_PATH = r"(?i)(^|/)(\.env(\..*)?|[^/]*\.(pem|key)|secrets?/.*|credentials[^/]*)$"
 
+#: What a match can't do without, to pass over texts cheaply.
+NEEDS = {
+    "private_key_block": ("private key",),
+    "aws_access_key_id": ("akia",),
+    "aws_secret_access_key": ("aws_secret_access_key",),
+    "stripe_secret_key": ("sk_live_", "sk_test_"),
+    "database_url": ("://",),
+    "bearer_token": ("bearer",),
+    "generic_secret_assignment": ("key", "secret", "token", "passw", "pwd"),
+    "email_address": ("@",),
+    "account_identifier": ("account", "acct", "customer", "patient", "invoice", "order"),
+    "ignore_instructions": ("instructions",),
+    "disregard_instructions": ("instructions",),
+    "read_env": (".env",),
+    "read_ssh": (".ssh",),
+    "reveal_environment_variables": ("environment variables",),
+    "network_exfiltration": ("://",),
+    "exfiltration_keywords": ("send", "post", "upload", "exfiltrate"),
+    "override_security_policy": ("override", "bypass", "disable"),
+    "cat_env": (".env",),
+    "cat_ssh": (".ssh",),
+}
+#: Characters that fold to ASCII letters when case is ignored; texts that hold one are always searched.
+FOLDING = "[\u017f\u0131\u0130\u212a]"
+
 SECRETS = [Rule(n, "secret", "secrets", s, p) for n, s, p in _SECRETS]
 PII = [Rule(n, "pii", "pii", "medium", p, "redact") for n, p in _PII]
 KEYWORD = Rule("sensitive_keyword", "pii", "pii", "low", r"(?i)\b({})\b", "warn", 0.7)

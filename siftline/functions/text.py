@@ -10,10 +10,11 @@ _S, _E = "\ue000", "\ue001"
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
+def spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
     """Code-point spans of the leftmost non-overlapping matches of a Java pattern, in order; empty for null.
 
-    Texts without a match cost one search. Classes and word boundaries follow Unicode.
+    Texts without a match cost one search, or only maybe (a cheaper test that every match passes) where it is false.
+    Classes and word boundaries follow Unicode.
     """
     pattern = f"(?U){pattern}"
     plain = F.translate(text, _S + _E, "\ufffd\ufffd")
@@ -27,7 +28,8 @@ def spans(text: Column, pattern: str) -> Column:
 
     none = F.array().cast(SPAN)
     start = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(F.split(marked, _S), start, step, lambda s: s["found"])).otherwise(none)
+    hit = text.rlike(pattern) if maybe is None else maybe & text.rlike(pattern)
+    return F.when(hit, F.aggregate(F.split(marked, _S), start, step, lambda s: s["found"])).otherwise(none)
 
 
 def line_at(text: Column, start: Column) -> Column:

@@ -49,12 +49,21 @@ def _numbered(i: int):
     return lambda span: F.struct(span["start"].alias("start"), span["end"].alias("end"), F.lit(i).alias("rule"))
 
 
-def findings(text: Column, origin: Column, path: Column, rules: Sequence[R.Rule] = R.TEXT_RULES) -> Column:
-    """Findings of a text, by start, end and rule order."""
+def _maybe(rule: R.Rule, low: Column | None, odd: Column | None) -> Column | None:
+    if low is None or not rule.needs:
+        return None
+    some = low.contains(rule.needs[0])
+    for need in rule.needs[1:]:
+        some |= low.contains(need)
+    return some | odd
+
+
+def findings(text: Column, origin: Column, path: Column, rules: Sequence[R.Rule] = R.TEXT_RULES, low: Column | None = None, odd: Column | None = None) -> Column:
+    """Findings of a text, by start, end and rule order. low, odd: the text in lower case, and whether it has FOLDING."""
     found = []
     trusted = ~untrusted(origin, path)
     for i, rule in enumerate(rules):
-        own = T.spans(text, rule.pattern)
+        own = T.spans(text, rule.pattern, _maybe(rule, low, odd))
         if _keep(rule, text, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))) is not None:
             own = F.filter(own, _holds(rule, text))
         if rule.type == "semantic_leak":
@@ -72,12 +81,15 @@ def scan(df: DataFrame, text: str = "text", origin: Column | str = "text", path:
     """df with a column `findings`. origin: a column, or one name for all rows."""
     origin = F.lit(origin) if isinstance(origin, str) else origin
     path = F.lit(None).cast("string") if path is None else path
-    return df.withColumns({"origin": origin, "path": path}).withColumn("findings", findings(F.col(text), F.col("origin"), F.col("path"), rules))
+    df = df.withColumns({"origin": origin, "path": path, "_low": F.lower(F.col(text)), "_odd": F.col(text).rlike(R.FOLDING)})
+    found = findings(F.col(text), F.col("origin"), F.col("path"), rules, F.col("_low"), F.col("_odd"))
+    return df.withColumn("findings", found).drop("_low", "_odd")
 
 
 def listed(scanned: DataFrame, keys: Sequence[str], text: str = "text", rules: Sequence[R.Rule] = R.TEXT_RULES, line: Column | None = None) -> DataFrame:
     """One row per finding, with its span and text: internal, as `matched` holds what must not be shown."""
-    rows = scanned.select(*keys, "origin", "path", text, F.posexplode("findings").alias("ord", "f"))
+    # Outer, as the filter that is else put before an explode would run all rules twice.
+    rows = scanned.select(*keys, "origin", "path", text, F.posexplode_outer("findings").alias("ord", "f")).where("f IS NOT NULL")
     rows = rows.withColumn("_r", F.get(_attributes(rules), F.col("f.rule")))
     noted = F.when((F.col("_r.type") == "secret") & F.col("path").rlike(R.SENSITIVE_PATH), "sensitive_path")
     return rows.select(

@@ -1,0 +1,33 @@
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+from siftline import catalog
+
+SF = "/root/testdata/sf0.001"
+
+
+def duck():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.sql(f"create view {name.removesuffix('.parquet')} as select * from '{SF}/{name}'")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_equals_sql(spark, name):
+    got = catalog.QUERIES[name](spark, SF)
+    cols = sorted(got.columns)
+    want = duck().sql(catalog.ORACLE_SQL[name])
+    assert sorted(want.columns) == cols
+    at = [want.columns.index(c) for c in cols]
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=key) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key)
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
