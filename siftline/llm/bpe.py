@@ -30,8 +30,8 @@ from .words import _BYTE, blocks, span_hashes, text_bytes
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces above this many characters are encoded as trees of leaves of at most half as many.
 LEAF = 2048
-#: Pieces that a worker remembers before it starts afresh (some 150 MB).
-REMEMBERED = 1_000_000
+#: Pieces that a worker remembers before it starts afresh (some 60 MB), and bytes of text encoded at once.
+REMEMBERED, BLOCK = 1_200_000, 1 << 19
 
 # Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 lead byte of Latin-1 letters, 5 continuation, 6 any other.
 _KIND = np.full(256, 6, np.uint8)
@@ -101,9 +101,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        """Drop the pieces: sorted hashes, their slots, and by slot where a piece's ids begin and how many they are."""
+        self.known, self.slot, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _letters(self, ids: list[int], last: bool) -> str:
         tokens = [self.tokenizer.id_to_token(i) for i in ids]
@@ -163,34 +164,38 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         encoded = self.tokenizer.encode_batch_fast([t if len(t) <= LEAF else "" for t in texts], add_special_tokens=False)
         ids = [e.ids if len(t) <= LEAF else self.long(t) for t, e in zip(texts, encoded)]
-        first, sizes = len(self.known), np.array([len(x) for x in ids], np.int64)
+        first, sizes = self.count, np.array([len(x) for x in ids], np.int64)
         flat = np.array([i for x in ids for i in x], np.int32)
         for name, need in (("at", first + len(ids)), ("size", first + len(ids)), ("flat", self.used + len(flat))):
             have = getattr(self, name)
             if need > len(have):
-                setattr(self, name, np.concatenate((have, np.zeros(max(need - len(have), len(have)), have.dtype))))
+                setattr(self, name, np.concatenate((have, np.zeros(max(need - len(have), len(have) // 2), have.dtype))))
         self.at[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.size[first : first + len(ids)] = sizes
         self.flat[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.known.update(zip(hashes.tolist(), range(first, first + len(ids))))
+        self.used, self.count = self.used + len(flat), first + len(ids)
+        into = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, into, hashes)
+        self.slot = np.insert(self.slot, into, np.arange(first, self.count, dtype=np.int32))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of texts that begin at offsets (from 0), and the number of ids before each text, with the end."""
         folded, starts, ends, first = pieces(data, offsets)
-        if len(self.known) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.forget()
         kinds, sample, which = np.unique(span_hashes(folded, starts, ends, _BYTE), return_index=True, return_inverse=True)
-        # Folded pieces of several lengths may mix in one batch; the hash covers bytes and length.
-        slots = np.array([self.known.get(h, -1) for h in kinds.tolist()], np.int64)
+        slots = np.full(len(kinds), -1, np.int64)
+        if self.count:
+            where = np.minimum(np.searchsorted(self.known, kinds), self.count - 1)
+            slots = np.where(self.known[where] == kinds, self.slot[where], slots)
         new = np.flatnonzero(slots < 0)
         if len(new):
             raw = folded.tobytes()
-            begin = len(self.known)
+            begin = self.count
             self._learn(kinds[new], [raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())])
             slots[new] = np.arange(begin, begin + len(new))
         slots = slots[which]
-        size = self.size[slots]
+        size = self.size[slots].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(size)))
         where = np.arange(total[-1]) + np.repeat(self.at[slots] - total[:-1], size)
         return self.flat[where], total[first]
@@ -210,7 +215,7 @@ def encoded(column: pa.Array, path: str, end: int | None = None) -> Iterator[tup
     """(from, to, ids, ids before each text and the end) for ranges of a column's texts; end: an id to append to each."""
     tool = encoder(path)
     data, offsets = text_bytes(column)
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, BLOCK):
         ids, at = tool.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         if end is not None:
             ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Matches one character of a word (Java regular expression).
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 
@@ -46,8 +46,5 @@ def words_of(text):
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """df.mapInArrow, with this package on the workers' path. (A cluster has it there already, by --py-files or installed.)"""
-    root, env = str(Path(__file__).resolve().parents[2]), df.sparkSession.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
