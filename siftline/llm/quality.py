@@ -100,7 +100,9 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     mask = bits[0]
     for bit in bits[1:]:
         mask = mask.bitwiseOR(bit)
-    return df.withColumn("failed", mask.cast("long"))
+    # A filter on the verdict would be pushed below the measurements, with a copy of all of them for each mention; it stays
+    # above a column that isn't deterministic, which adds nothing here.
+    return df.withColumn("failed", mask.cast("long").bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit(0).cast("long"))))
 
 
 def apply_policy(led: DataFrame, policy: Policy = FULL) -> DataFrame:
@@ -130,10 +132,7 @@ def judge(docs: DataFrame, policy: Policy = FULL, text: str = "text") -> DataFra
     """The rows of docs that the policy keeps, with docs' own columns. No join: the verdict is made in the row."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = ledger(docs.select(whole.alias("_row"), F.col(f"`{text}`").alias("_text")), "_row", "_text")
-    # A filter on the verdict alone would be pushed below the measurements, as a copy of all of them for each mention;
-    # it stays above a column that isn't deterministic.
-    judged = apply_policy(rows, policy).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where("kept AND _at >= 0").select("_row.*")
+    return apply_policy(rows, policy).where("kept").select("_row.*")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
