@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, read
 from .words import _BYTE, blocks, span_hashes, text_bytes
@@ -239,8 +240,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, into: s
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, into])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{kinds}, `{into}` array<int>")
+    return arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
@@ -255,8 +255,7 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, into: str
                 texts = tool.decode_batch([x or [] for x in part.column(at).to_pylist()], skip_special_tokens=False)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, into])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return arrow_map(rows, run, f"{kinds}, `{into}` string")
+    return arrow_map(rows, run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

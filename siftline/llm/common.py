@@ -45,6 +45,6 @@ def words_of(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, read
 
@@ -356,8 +357,7 @@ def extract(pages: DataFrame, model: Model, column: str = "html", into: str = "t
                 found = texts(f, model.messages(f)[0][:, 1] > 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], names=[*part.schema.names, into])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
-    return arrow_map(pages, run, f"{kinds}, `{into}` string")
+    return arrow_map(pages, run, T.StructType([*pages.schema.fields, T.StructField(into, T.StringType())]))
 
 
 def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

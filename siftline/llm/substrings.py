@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_map, cut, read
 from .words import blocks, fixed, mix, powers, span_hashes, text_bytes, word_spans
@@ -121,8 +122,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     marked = found.join(repeated, "span").where("id > first").groupBy("id").agg(F.collect_set("at").alias("_marks"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").cast("long").alias("id"))
     joined = whole.join(marked, "id", "left").select("_row", F.col("_row").getField(text).alias("_text"), "_marks")
-    kind = joined.schema["_row"].dataType.simpleString()
-    done = arrow_map(joined, _cut_out, f"_row {kind}, _text string, n_sentences long, n_removed long")
+    schema = T.StructType(joined.schema.fields[:2]).add("n_sentences", "long").add("n_removed", "long")
+    done = arrow_map(joined, _cut_out, schema)
     done = done.withColumn("_row", F.col("_row").withField(f"`{text}`", F.when(F.col("_row").getField(text).isNotNull(), F.col("_text"))))
     return done.select("_row.*", "n_sentences", "n_removed")
 
