@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Edges that a task works on, about; smaller tables have four tasks.
+EDGES_PER_TASK = 200_000
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Equal for equal edge sets."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -24,18 +28,23 @@ def components(edges: DataFrame) -> DataFrame:
     ignored; an empty table gives an empty one.
     """
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    now = cut(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    pairs = cut(pairs)
+    # Tasks by size: a round has many shuffles, and each task of a small table would leave files in every one of them.
+    tasks = max(4, pairs.count() // EDGES_PER_TASK)
+    small_ = lambda df: df.coalesce(tasks)
+    ids = small_(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    now = cut(small_(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     last, ids = None, cut(ids)
     while (mark := _mark(now)) != last:
         last = mark
         # Large star: neighbours greater than v move to the least of v and its neighbours.
         both = now.union(now.select("b", "a")).toDF("v", "n")
         least = both.groupBy("v").agg(F.least(F.min("n"), F.first("v")).alias("m"))
-        large = both.where("n > v").join(least, "v").select(F.col("n").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("m < v").select("v", "m")).where("a <> b").distinct()
+        large = small_(both.where("n > v").join(least, "v")).select(F.col("n").alias("a"), F.col("m").alias("b"))
+        large = small_(large.union(small_(least.where("m < v").select("v", "m"))).where("a <> b").distinct())
         # Small star: v and its lesser neighbours move to the least of these.
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", "m"))
-        now = cut(small.where("a <> b").distinct())
-    return ids.join(now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        small = small_(large.join(down, "a")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_(down.select("a", "m")))
+        now = cut(small_(small.where("a <> b").distinct()))
+    final = small_(now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")))
+    return small_(ids.join(final, "id", "left")).select("id", F.coalesce("component", "id").alias("component"))

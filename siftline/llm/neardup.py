@@ -9,8 +9,8 @@ Time is linear in the document plus its darts, not k times the document.
 
 Signatures are cut into bands. Documents that share a band are candidates; candidates are compared exactly on their
 whole texts, and links (similarity 0.8 or more) are joined into classes. Within a band's bucket the pairs are not
-listed: every member is compared with one hub, members that fail with it meet other hubs in further rounds, and what
-then is still apart is compared across components. Documents with equal word sequences are one node from the start.
+listed: every member is compared with one hub, and what then is still apart is compared across components, pair by pair
+if these are no more than a few per member, else side by side in blocks that don't list pairs. Documents with equal word sequences are one node from the start.
 
 Defined results: texts without words (null, empty, white space) are in no class but their own; a text of one to four
 words has one shingle, of all its words; repeated texts are one class; repeated ids count as one document each row
@@ -26,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, partitions_for, read
+from ..workers import ship
+from .common import arrow_map, cut, read
 from .components import components
-from .words import BLOCK, blocks, fixed, mix, powers, text_bytes, word_hashes
+from .words import blocks, fixed, mix, powers, text_bytes, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: k = ROWS * BANDS coordinates. A pair of similarity 0.8 shares a band with a probability of 0.998.
-ROWS, BANDS = 6, 20
+#: k = ROWS * BANDS coordinates. A pair of similarity 0.8 shares a band with a probability of 0.996.
+ROWS, BANDS = 8, 30
 K = ROWS * BANDS
+#: One bit of every coordinate, in LONGS words of 60. Bits of a pair of similarity s differ with probability (1 - s) / 2.
+LONGS = K // 60
+BITS = [f"b{i}" for i in range(LONGS)]
 
 _PLACE = [fixed(f"shingle {i}") | np.uint64(1) for i in range(SHINGLE)]
 _SHORT, _COPY, _RANK, _COORD, _BAND, _OWNER = (fixed(x) for x in ("short", "copy", "rank", "coordinate", "band", "owner"))
@@ -125,90 +129,184 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             banded = (sign.reshape(b - a, BANDS, ROWS) * weave).sum(axis=2, dtype=np.uint64)
             banded = mix(banded + np.arange(1, BANDS + 1, dtype=np.uint64) * _BAND).view(np.int64)
             digest = _digests(words, first)
+            bit = ((sign & np.uint64(1)).reshape(b - a, LONGS, 60) << np.arange(60, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(np.bincount(owner, minlength=b - a)), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
+                 *[pa.array(bit[:, i]) for i in range(LONGS)],
                  pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(banded.ravel()))],
-                names=["id", "n_words", "d1", "d2", "bands"],
+                names=["id", "n_words", "weight", "d1", "d2", *BITS, "bands"],
             )
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_words, d1, d2, bands) of every document."""
+    """(id, n_words, weight, d1, d2, b0.., bands) of every document; weight is the number of shingles, b0.. the bits."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return arrow_map(rows, _sketch, "id long, n_words long, d1 long, d2 long, bands array<long>")
+    return arrow_map(rows, _sketch, "id long, n_words long, weight long, d1 long, d2 long, " + "".join(f"{b} long, " for b in BITS) + "bands array<long>")
 
 
-def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact weighted Jaccard similarities of the pairs (a, b, text_a, text_b)."""
-    for batch in batches:
-        size = max(1, int(len(batch) * BLOCK / max(1, batch.nbytes)))
-        for at in range(0, len(batch), size):
-            part = batch.slice(at, size)
-            got = []
-            for c in (2, 3):
-                data, offsets = text_bytes(part.column(c))
-                data = data[offsets[0] : offsets[-1]]
-                elements, owner = shingles(*word_hashes(data, offsets - offsets[0]))
-                got.append((mix(cells(elements, owner) ^ (owner.astype(np.uint64) + np.uint64(1)) * _OWNER), owner))
-            (left, who), (right, other) = got
-            shared = np.bincount(who[np.isin(left, right)], minlength=len(part))
-            union = np.bincount(who, minlength=len(part)) + np.bincount(other, minlength=len(part)) - shared
-            similar = np.divide(shared, union, out=np.zeros(len(part)), where=union > 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(similar)], names=["a", "b", "similarity"])
+def _sets(texts: pa.ChunkedArray) -> list[np.ndarray]:
+    """The sorted cells of each text."""
+    data, offsets = text_bytes(texts)
+    sets: list[np.ndarray] = []
+    for a, b in blocks(offsets):
+        elements, owner = shingles(*word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+        cell = cells(elements, owner)
+        order = np.lexsort((cell, owner))
+        sets += np.split(cell[order], np.searchsorted(owner[order], np.arange(1, b - a)))
+    return sets
+
+
+def _similar(one: np.ndarray, two: np.ndarray, least: float) -> bool:
+    """Is the weighted Jaccard similarity of two sorted sets of cells least or more?"""
+    if len(one) > len(two):
+        one, two = two, one
+    if not len(one) >= least * len(two) > 0:
+        return False
+    at = np.searchsorted(two, one)
+    shared = int((two[np.minimum(at, len(two) - 1)] == one).sum())
+    return shared >= least * (len(one) + len(two) - shared)
+
+
+def _compared(least: float):
+    """For a block of pairs (block, a, b) and the texts (id, block, text) that they name: the similar pairs."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        ids, sets = texts.column("id").to_numpy(), _sets(texts.column("text"))
+        order = np.argsort(ids)
+        left, right = (order[np.searchsorted(ids[order], pairs.column(c).to_numpy())] for c in ("a", "b"))
+        keep = [_similar(sets[x], sets[y], least) for x, y in zip(left.tolist(), right.tolist())]
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+#: Bytes of text that a block of pairs names at most, on average, if none of its texts are shared.
+PAIR_BYTES = 32 << 20
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose texts (id, text) are similar enough."""
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    found = arrow_map(both.select("a", "b", "text_a", "text_b"), _similarities, "a long, b long, similarity double")
-    return found.where(F.col("similarity") >= least).select("a", "b")
+    """Those of the pairs (a, b) whose texts (id, text) are similar enough, compared exactly.
+
+    Pairs are dealt to a square of blocks by both of their ids, so that a hub's pairs spread over a row of blocks, and
+    each text goes once to every block that names it.
+    """
+    pairs = cut(pairs)
+    size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    side = int(max(pairs.count() * 2 * size / PAIR_BYTES, 2 * pairs.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side)))
+    named = dealt.select("block", F.col("a").alias("id")).union(dealt.select("block", "b")).distinct().join(texts, "id").toDF("id", "of", "text")
+    ship(pairs.sparkSession)
+    return dealt.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_compared(least), "a long, b long")
 
 
 def _pairs(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
+def _furthest(least: float) -> int:
+    """Most bits in which a pair of similarity least may differ: four standard deviations above the mean."""
+    p = (1 - least) / 2
+    return int(K * p + 4 * (K * p * (1 - p)) ** 0.5)
+
+
+def _near(least: float, x: str = "x", y: str = "y"):
+    """May the nodes (structs of id, weight and bits) be similar? Weights bound the similarity from above; the bits'
+    distance rules out what _furthest leaves (missed: 3 pairs of similarity least in 100,000)."""
+    lighter, heavier = F.least(f"{x}.weight", f"{y}.weight"), F.greatest(f"{x}.weight", f"{y}.weight")
+    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS)
+    return (lighter >= F.lit(least) * heavier) & (apart <= _furthest(least))
+
+
 def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links that join all similar candidates. members: (bucket, id, hub), a row per member of a shared bucket."""
-    edges = cut(linked(members.where("id <> hub").select(*_pairs("id", "hub")).distinct(), texts, least))
-    before, turn = None, 0
-    while True:
-        class_of = cut(components(edges))
-        # Buckets whose members are not yet one component, by how many pairs across components they hold.
-        placed = members.join(class_of, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        apart = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("c")).where("c > 1")
-        open_ = cut(placed.join(apart, "bucket").select("bucket", "id", "component", "n", "squares"))
-        rows = open_.count()
-        if not rows:
-            return edges
-        across = open_.agg(F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()[0]
-        turn += 1
-        if across <= 8 * rows or before and across > 0.8 * before:
-            left, right = open_.select("bucket", "id", "component"), open_.select("bucket", F.col("id").alias("other"), F.col("component").alias("theirs"))
-            pairs = left.join(right, "bucket").where("component < theirs").select(*_pairs("id", "other")).distinct()
-            return cut(edges.union(linked(pairs, texts, least)))
-        before = across
-        hubs = open_.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("hub"))
-        pairs = open_.join(hubs, "bucket").where("component <> hub.component").select(*_pairs("id", "hub.id")).distinct()
-        edges = cut(edges.union(linked(pairs, texts, least)))
+    """Links that join all similar candidates. members: (bucket, x, y), a row per member x of a shared bucket of hub y."""
+    first = members.where("x.id <> y.id").where(_near(least)).select(*_pairs("x.id", "y.id")).distinct()
+    edges = cut(linked(first, texts, least))
+    class_of = cut(components(edges)).withColumnRenamed("id", "_id")
+    # Buckets whose members are not yet one component, by how many pairs across components they hold.
+    placed = members.join(class_of, F.col("x.id") == F.col("_id"), "left").select("bucket", "x", F.coalesce("component", "x.id").alias("component"))
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("c")).where("c > 1")
+    open_ = cut(placed.join(cut(apart), "bucket").select("bucket", "x", "component", "n", "squares"))
+    rows, across = open_.agg(F.count("*"), F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()
+    if not rows:
+        return edges
+    if across > 8 * rows:
+        return cut(edges.union(_squares(open_, texts, least)))
+    left, right = open_.select("bucket", "x", "component"), open_.select("bucket", F.col("x").alias("y"), F.col("component").alias("theirs"))
+    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("component") < F.col("theirs")) & _near(least))
+    return cut(edges.union(linked(pairs.select(*_pairs("x.id", "y.id")).distinct(), texts, least)))
+
+
+#: Documents of a side of a square, about.
+SIDE = 512
+
+
+def _squares(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links across components within groups of documents that open buckets tie together, candidates or not.
+
+    A group is cut into sides by a hash of the id, and each pair of sides is compared in one task, which gives a
+    spanning forest of the links found. A document is sent once per side of its group; pairs aren't listed.
+    """
+    nodes = open_.select("x", "component").distinct()
+    firsts = cut(open_.groupBy("bucket").agg(F.min("x.id").alias("b")))
+    groups = cut(components(open_.select("bucket", F.col("x.id").alias("a")).join(firsts, "bucket").select("a", "b")))
+    sizes = cut(groups.groupBy("component").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides")))
+    placed = nodes.withColumn("id", F.col("x.id")).join(groups.withColumnRenamed("component", "of"), "id").join(sizes.withColumnRenamed("component", "of"), "of")
+    placed = placed.withColumn("side", F.pmod(F.xxhash64("id"), "sides").cast("int")).join(texts, "id")
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    sent = sent.select("of", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "id", "component", "x.weight", *[f"x.{b}" for b in BITS], "text")
+    furthest = _furthest(least)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side, weight, place = (table.column(c).to_numpy() for c in ("id", "side", "weight", "component"))
+        bits = np.stack([table.column(b).to_numpy() for b in BITS], axis=1)
+        up = {int(c): int(c) for c in place}
+
+        def root(c: int) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        low, high = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+        if table.column("one")[0] != table.column("two")[0] and side.min() == side.max():
+            low = low[:0]
+        sets = _sets(table.column("text"))
+        found = []
+        for at in range(0, len(low), 64):
+            part = low[at : at + 64]
+            apart = np.bitwise_count(bits[part][:, None, :] ^ bits[high][None, :, :]).sum(axis=2, dtype=np.int64)
+            light, heavy = np.minimum.outer(weight[part], weight[high]), np.maximum.outer(weight[part], weight[high])
+            a, b = np.nonzero((apart <= furthest) & (light >= least * heavy) & (place[part][:, None] != place[high][None, :]))
+            order = np.argsort(apart[a, b], kind="stable")
+            for i, j in zip(part[a[order]].tolist(), high[b[order]].tolist()):
+                p, q = root(int(place[i])), root(int(place[j]))
+                if p != q and _similar(sets[i], sets[j], least):
+                    up[max(p, q)] = min(p, q)
+                    found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    ship(open_.sparkSession)
+    return sent.groupBy("of", "one", "two").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
     """(id, class_id) of every document: class_id is the least id of its class, ids that share a text included."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketch = cut(sketches(docs.repartition(partitions_for(docs, text), F.xxhash64(F.col(f"`{key}`"))), key, text))
+    sketch = cut(sketches(docs, key, text))
     worded = sketch.where("n_words > 0 AND id IS NOT NULL")
-    # A node for each sequence of words. Equal sequences have equal bands, so any of them will do.
-    nodes = cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("node"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    banded = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(shared, "bucket").select("bucket", "id", "hub"))
-    wanted = members.select("id").distinct()
+    # A node for each sequence of words. Equal sequences have equal sketches, so any of them will do.
+    same = [F.first(c).alias(c) for c in ("weight", *BITS, "bands")]
+    nodes = cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("n"), *same))
+    banded = nodes.select(F.struct("id", "weight", *BITS).alias("x"), F.explode("bands").alias("bucket"))
+    # Written out before the join, so that the join deals both sides itself and can split a bucket that many share.
+    shared = cut(banded.groupBy("bucket").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    members = cut(banded.join(shared, "bucket").select("bucket", "x", "y"))
+    wanted = members.select("x.id").distinct()
     texts = cut(rows.join(wanted, "id").dropDuplicates(["id"]))
     joined = components(_links(members, texts, least))
-    copies = nodes.where("n > 1").select("d1", "d2", "node")
-    named = sketch.select("id", "d1", "d2", "n_words").join(copies.withColumn("worded", F.lit(True)), ["d1", "d2"], "left")
+    copies = nodes.where("n > 1").select("d1", "d2", F.col("id").alias("node"))
+    named = sketch.select("id", "d1", "d2", "n_words").join(copies, ["d1", "d2"], "left")
     named = named.select("id", F.when(F.col("n_words") > 0, F.coalesce("node", "id")).otherwise(F.col("id")).alias("node"))
     return named.join(joined.withColumnRenamed("id", "node"), "node", "left").select("id", F.coalesce("component", "node").alias("class_id"))
 
