@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Largest mean that is inverted in one draw, and steps of the inversion: P(X > STEPS | PART) < 1e-12.
 PART, STEPS = 8.0, 40
@@ -46,10 +46,10 @@ def source_rates(sizes: DataFrame, weights: dict[str, float] | None, exponent: f
         pairs = [x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]
         target = F.create_map(*pairs)[F.coalesce(F.col("_source"), F.lit(""))]
     aimed = sizes.withColumn("_target", target).where("_target > 0")
-    totals = aimed.agg(F.sum("_target").alias("_targets"), F.sum("_size").alias("_sizes"))
-    rate = F.lit(epochs) * F.col("_target") / F.col("_targets") * F.col("_sizes") / F.col("_size")
-    # One row of totals against one row per source.
-    return aimed.join(F.broadcast(totals)).select("_source", rate.alias("rate"))
+    # Two numbers come to the driver.
+    targets, size = aimed.agg(F.sum("_target"), F.sum("_size")).first()
+    rate = F.lit(epochs) * F.col("_target") / F.lit(targets or 1.0) * F.lit(size or 0) / F.col("_size")
+    return aimed.select("_source", rate.alias("rate"))
 
 
 def poisson(rate: Column, *seed: Column) -> Column:
@@ -78,7 +78,7 @@ def mix(
     sources used. extra: also return copy_no, n_copies and shuffle_key, which otherwise go.
     """
     spark = docs.sparkSession
-    rates = source_rates(source_sizes(docs, source, text), weights, exponent, epochs)
+    rates = source_rates(cut(source_sizes(docs, source, text)), weights, exponent, epochs)
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rows = docs.select(F.struct(*cols).alias("_row"), F.col(source).alias("_s"), F.col(key).alias("_k"))
     # approx_count_distinct is exact enough for a size check and is bounded itself.
