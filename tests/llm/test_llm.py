@@ -212,6 +212,32 @@ def test_substrings(docs, clash):
     assert substrings.dedup(docs.limit(0)).count() == 0
 
 
+def test_substrings_pasted_mid_sentence(spark):
+    """Passages of 51 words at odd offsets of other sentences, with and without ends of their own; lines of one to three words."""
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], []
+    for k in range(60):
+        passage = words(51)
+        if k % 3:
+            passage = [w + "." if rng.random() < (0.1, 0.5)[k % 3 - 1] else w for w in passage]
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join(words(rng.randrange(1, 90)) + passage + words(rng.randrange(1, 90)))))
+        planted.append(passage)
+    run = ["same"] * 51
+    rows += [(200 + i, " ".join(words(7) + run + ["same"] * i + words(9))) for i in (0, 30)]
+    short = "".join(" ".join(words(rng.choice((1, 2, 3)))).upper() + rng.choice(("!! ", "\n")) for _ in range(40)) + " ".join(words(14)) + ". Yes. No. Yes."
+    rows += [(300, short), (301, short), (302, " ".join(words(500)))]
+    got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own = dict(rows)
+    for k, passage in enumerate(planted):
+        assert got[2 * k].text == own[2 * k] and got[2 * k + 1].n_removed > 0
+        left, known = got[2 * k + 1].text.split(), set(passage)
+        assert sum(w in known for w in left) <= 16 and [w for w in left if w not in known] == [w for w in own[2 * k + 1].split() if w not in known]
+    assert got[230].n_removed > 0 and got[230].text.split().count("same") < 51
+    assert got[300].text == short and got[301].text == "" and got[302].n_removed == 0
+
+
 @pytest.fixture(scope="module")
 def library():
     return pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_path())
