@@ -33,8 +33,8 @@ from .words import blocks, fixed, mix, powers, text_bytes, word_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: k = ROWS * BANDS coordinates. A pair of similarity 0.8 shares a band with a probability of 0.996.
-ROWS, BANDS = 8, 30
+#: k = ROWS * BANDS coordinates. A pair of similarity 0.8 shares no band with a probability of 5 in a million.
+ROWS, BANDS = 6, 40
 K = ROWS * BANDS
 #: One bit of every coordinate, in LONGS words of 60. Bits of a pair of similarity s differ with probability (1 - s) / 2.
 LONGS = K // 60
@@ -204,14 +204,14 @@ def _pairs(x: str, y: str) -> list:
 
 
 def _furthest(least: float) -> int:
-    """Most bits in which a pair of similarity least may differ: four standard deviations above the mean."""
+    """Most bits in which a pair of similarity least may differ: five standard deviations above the mean."""
     p = (1 - least) / 2
-    return int(K * p + 4 * (K * p * (1 - p)) ** 0.5)
+    return int(K * p + 5 * (K * p * (1 - p)) ** 0.5)
 
 
 def _near(least: float, x: str = "x", y: str = "y"):
     """May the nodes (structs of id, weight and bits) be similar? Weights bound the similarity from above; the bits'
-    distance rules out what _furthest leaves (missed: 3 pairs of similarity least in 100,000)."""
+    distance rules out what _furthest leaves (missed: 3 pairs of similarity 0.8 in a million)."""
     lighter, heavier = F.least(f"{x}.weight", f"{y}.weight"), F.greatest(f"{x}.weight", f"{y}.weight")
     apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS)
     return (lighter >= F.lit(least) * heavier) & (apart <= _furthest(least))
@@ -298,10 +298,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     # A node for each sequence of words. Equal sequences have equal sketches, so any of them will do.
     same = [F.first(c).alias(c) for c in ("weight", *BITS, "bands")]
     nodes = cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("n"), *same))
-    banded = nodes.select(F.struct("id", "weight", *BITS).alias("x"), F.explode("bands").alias("bucket"))
+    # Ids alone are dealt by bucket; weights and bits follow where a bucket is shared.
+    banded = nodes.select("id", F.explode("bands").alias("bucket"))
+    known = nodes.select("id", F.struct("id", "weight", *BITS).alias("x"))
+    hubs = banded.groupBy("bucket").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Written out before the join, so that the join deals both sides itself and can split a bucket that many share.
-    shared = cut(banded.groupBy("bucket").agg(F.min("x").alias("y"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    members = cut(banded.join(shared, "bucket").select("bucket", "x", "y"))
+    shared = cut(hubs.join(known.withColumnRenamed("x", "y"), "id").select("bucket", "y"))
+    members = cut(banded.join(shared, "bucket").join(known, "id").select("bucket", "x", "y"))
     wanted = members.select("x.id").distinct()
     texts = cut(rows.join(wanted, "id").dropDuplicates(["id"]))
     joined = components(_links(members, texts, least))

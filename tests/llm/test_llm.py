@@ -118,6 +118,15 @@ def test_near_duplicates(docs, clash):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_just_at_the_bound(spark):
+    """Isolated pairs of similarity 0.8 (40 of 50 shingles): all are found."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(2 * k + i, f"{same} {words(5)}") for k in range(4000) for same in (words(44),) for i in (0, 1)]
+    got = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(3)
     for share in (0.3, 0.6, 0.9):
