@@ -329,6 +329,20 @@ def test_maxent(docs, clash):
     assert maxent.score(docs.limit(0)).count() == 0
 
 
+def test_maxent_gives_slots_to_rare_words_and_steps_every_8192_tokens(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 50)
+    rows = [(0, 3, 10**6)] + [(w, w % 40, 5 + w % 3) for w in range(1, 100)]
+    totals = spark.createDataFrame(rows, "word long, ending int, c long")
+    m = maxent.counted(totals, spark.createDataFrame([(-1, 64 * e, 1) for e in range(40)], "block int, word long, n long"))
+    first = sorted(rows, key=lambda r: (-r[2], r[0]))[:50]
+    assert sorted(m.head.tolist()) == sorted(r[0] for r in first)
+    steps, n = [], 32768
+    monkeypatch.setattr(m, "_step", lambda weights, row, error, state: steps.append(len(row)))
+    rng = np.random.default_rng(1)
+    m.learn(rng.integers(1, 2**62, n).astype(np.uint64), rng.integers(0, 40, n), np.array([0, n]), {"wide": [None] * 3, "deep": None})
+    assert steps == [8192] * 16
+
+
 def test_maxent_is_a_distribution():
     """Over all words of a small model, with unseen ones as one event, probabilities sum to one."""
     rng = np.random.default_rng(0)
