@@ -1,22 +1,26 @@
 """BPE encoding and decoding with a public word-level vocabulary, equal to the tokenizers library's.
 
-Texts are cut where the library's pre-tokenizer cuts them for certain: at ASCII white space, and, in words of ASCII
-and Latin-1 letters, digits and marks, between runs of a kind. Every different piece is encoded once per worker and
-remembered; a text's ids are gathered from the pieces' ids.
+A long text is a tree: it is halved at any character down to leaves, which are encoded in parallel, many at a time; then,
+from the bottom up, the two sides of each join are reconciled. A window of pieces around the join is encoded again, and
+doubled until its first piece is one that the left side has there and its last piece one that the right side has there:
+as both sides then agree exactly, the joined ids equal those of the whole. All joins of a level are encoded together.
 
-A piece too long for that (text without a cut) is encoded as a tree: it is halved down to leaves, which are encoded in
-parallel as inner text; then, from the bottom up, the two sides of each join are reconciled. A window of tokens around
-the join is encoded again, and doubled until both of its seams hold, that is until the two tokens at a seam encode to
-themselves. As every neighbouring pair then stands as BPE would leave it, the joined ids equal those of the whole.
+Leaves and windows are cut where the library's pre-tokenizer cuts them for certain: at ASCII white space, and, in words of
+ASCII and Latin-1 letters, digits and marks, between runs of a kind. Every different piece is encoded once per worker
+and remembered; a text's ids are gathered from the pieces' ids. A piece that is long itself (no cut for thousands of
+characters) is a tree of tokens: leaves are encoded as inner text, windows of tokens are encoded again around each
+join, and hold when the two tokens at either seam encode to themselves.
 
 Defined results: a null or empty text, or one of white space, has no ids and decodes to ''; texts may be of any length;
-repeated rows encode alike; an empty table gives an empty result; other columns aren't read.
+repeated rows encode alike; an empty table gives an empty result; a column named like an added one is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, read
+from .common import arrow_map, read, without
 from .words import _BYTE, blocks, span_hashes, text_bytes
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces above this many characters are encoded as trees of leaves of at most half as many.
-LEAF = 2048
-#: Pieces that a worker remembers before it starts afresh (some 60 MB), and bytes of text encoded at once.
-REMEMBERED, BLOCK = 1_200_000, 1 << 19
+#: Texts of more bytes are trees of leaves of at most as many, and so are pieces of more characters than half as many.
+TEXT_LEAF, LEAF = 4096, 2048
+#: Pieces that a worker remembers before it starts afresh (some 40 MB), bytes of text encoded at once, and new pieces at once.
+REMEMBERED, BLOCK, NEW = 800_000, 1 << 19, 8192
 
 # Kinds of bytes: 0 white space, 1 letter, 2 digit, 3 other ASCII, 4 lead byte of Latin-1 letters, 5 continuation, 6 any other.
 _KIND = np.full(256, 6, np.uint8)
@@ -91,6 +95,8 @@ class Encoder:
     """The vocabulary at a path, with the pieces seen so far."""
 
     def __init__(self, path: str):
+        # Tasks are parallel already; threads of the library would only add to their memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -151,15 +157,15 @@ class Encoder:
 
     def long(self, text: str) -> list[int]:
         """Ids of a long piece: special tokens are taken out, the rest is normalized and split as the library does."""
-        ids, rest = [], text
-        while rest:
-            found = [(at, name) for name in self.special if (at := rest.find(name)) >= 0]
-            at, name = min(found, default=(len(rest), ""))
-            part, rest = rest[:at], rest[at + len(name) :]
+        ids, at = [], 0
+        marks = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) or r"(?!)")
+        for found in [*marks.finditer(text), None]:
+            part = text[at : found.start() if found else len(text)]
             for letters, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part)):
                 ids += self.tree(letters) if len(letters) > LEAF else self._plain(letters, True)
-            if name:
-                ids.append(self.special[name])
+            if found:
+                ids.append(self.special[found[0]])
+                at = found.end()
         return ids
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
@@ -175,27 +181,96 @@ class Encoder:
         self.size[first : first + len(ids)] = sizes
         self.flat[self.used : self.used + len(flat)] = flat
         self.used, self.count = self.used + len(flat), first + len(ids)
-        into = np.searchsorted(self.known, hashes)
-        self.known = np.insert(self.known, into, hashes)
-        self.slot = np.insert(self.slot, into, np.arange(first, self.count, dtype=np.int32))
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of texts that begin at offsets (from 0), and the number of ids before each text, with the end."""
+    def slots(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and slots of the pieces of texts that begin at offsets (from 0), and pieces before each text and the end."""
         folded, starts, ends, first = pieces(data, offsets)
-        if self.count > REMEMBERED:
-            self.forget()
         kinds, sample, which = np.unique(span_hashes(folded, starts, ends, _BYTE), return_index=True, return_inverse=True)
         slots = np.full(len(kinds), -1, np.int64)
-        if self.count:
-            where = np.minimum(np.searchsorted(self.known, kinds), self.count - 1)
+        if len(self.known):
+            where = np.minimum(np.searchsorted(self.known, kinds), len(self.known) - 1)
             slots = np.where(self.known[where] == kinds, self.slot[where], slots)
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = folded.tobytes()
-            begin = self.count
-            self._learn(kinds[new], [raw[a:b].decode() for a, b in zip(starts[sample[new]].tolist(), ends[sample[new]].tolist())])
-            slots[new] = np.arange(begin, begin + len(new))
-        slots = slots[which]
+            raw, begin = folded.tobytes(), self.count
+            for at in range(0, len(new), NEW):
+                part = new[at : at + NEW]
+                self._learn(kinds[part], [raw[a:b].decode() for a, b in zip(starts[sample[part]].tolist(), ends[sample[part]].tolist())])
+            into = np.searchsorted(self.known, kinds[new])
+            self.known = np.insert(self.known, into, kinds[new])
+            slots[new] = np.arange(begin, self.count)
+            self.slot = np.insert(self.slot, into, slots[new].astype(np.int32))
+        return starts, ends, slots[which], first
+
+    def grown(self, data: np.ndarray, nodes: list[tuple]) -> tuple:
+        """The pieces (starts, ends, slots) of a text from those of its leaves, level by level."""
+        while len(nodes) > 1:
+            pairs = list(zip(nodes[::2], nodes[1::2]))
+            joined: list = [None] * len(pairs)
+            todo, width = list(range(len(pairs))), 1
+            while todo:
+                spans = []
+                for i in todo:
+                    (ls, le, _), (rs, re_, _) = pairs[i]
+                    # One piece more than the window on each side: the ones that must come out as they are.
+                    from_ = ls[max(len(ls) - width - 1, 0)] if len(ls) else rs[0] if len(rs) else 0
+                    to = re_[min(width, len(re_) - 1)] if len(re_) else le[-1] if len(le) else 0
+                    spans.append((int(from_), int(to)))
+                at = np.concatenate(([0], np.cumsum([b - a for a, b in spans])))
+                starts, ends, slots, first = self.slots(np.concatenate([data[a:b] for a, b in spans]), at)
+                rest = []
+                for k, i in enumerate(todo):
+                    left, right = pairs[i]
+                    mine = slice(first[k], first[k + 1])
+                    shift = spans[k][0] - at[k]
+                    middle = (starts[mine] + shift, ends[mine] + shift, slots[mine])
+                    keep_l, keep_r = max(len(left[0]) - width - 1, 0), min(width + 1, len(right[0]))
+                    agree = len(left[0]) <= width or (len(middle[0]) and middle[0][0] == left[0][keep_l] and middle[1][0] == left[1][keep_l])
+                    agree = agree and (len(right[0]) <= width or middle[0][-1] == right[0][keep_r - 1] and middle[1][-1] == right[1][keep_r - 1])
+                    if agree:
+                        joined[i] = tuple(np.concatenate((x[:keep_l], m, y[keep_r:])) for x, m, y in zip(left, middle, right))
+                    else:
+                        rest.append(i)
+                todo, width = rest, width * 2
+            nodes = joined
+        return nodes[0]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that begin at offsets (from 0), and the number of ids before each text, with the end."""
+        if self.count > REMEMBERED:
+            self.forget()
+        sizes = np.diff(offsets)
+        counts = np.left_shift(1, np.ceil(np.log2(np.maximum(sizes / TEXT_LEAF, 1))).astype(np.int64))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        bounds = np.append(offsets[:-1][owner] + sizes[owner] * number // counts[owner], len(data))
+        # A character isn't cut: its bytes of continuation go with the one before.
+        inside = np.append(data, 0)[bounds] & 0xC0 == 0x80
+        while inside.any():
+            bounds[inside] -= 1
+            inside[inside] = data[bounds[inside]] & 0xC0 == 0x80
+        parts, leaves = [], []
+        for a, b in blocks(bounds, BLOCK):
+            starts, ends, slots, first = self.slots(data[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a])
+            parts.append((starts + bounds[a], ends + bounds[a], slots))
+            leaves.append(np.diff(first))
+        starts, ends, slots = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*parts) if parts else ([], [], [])))
+        before = np.concatenate(([0], np.cumsum(np.concatenate(leaves)))) if leaves else np.zeros(1, np.int64)
+        of_text = np.concatenate(([0], np.cumsum(counts)))
+        done, sizes = [], np.diff(before[of_text])
+        trees = np.flatnonzero(counts > 1)
+        if len(trees):
+            at = 0
+            for t in trees.tolist():
+                cut = before[of_text[t] : of_text[t + 1] + 1]
+                done.append(slots[before[of_text[at]] : cut[0]])
+                nodes = [(starts[a:b], ends[a:b], slots[a:b]) for a, b in zip(cut, cut[1:])]
+                done.append(self.grown(data, nodes)[2])
+                sizes[t] = len(done[-1])
+                at = t + 1
+            done.append(slots[before[of_text[at]] :])
+            slots = np.concatenate(done)
+        first = np.concatenate(([0], np.cumsum(sizes)))
         size = self.size[slots].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(size)))
         where = np.arange(total[-1]) + np.repeat(self.at[slots] - total[:-1], size)
@@ -231,6 +306,7 @@ def default_path() -> str:
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, into: str = "ids") -> DataFrame:
     """docs with a column of the text's ids (array<int>), all other columns kept."""
+    docs = without(docs, into)
     path, at = path or default_path(), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +321,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, into: s
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
     """rows with a column of the text that the ids decode to."""
+    rows = without(rows, into)
     path, at = path or default_path(), rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import ship
+from ..workers import give_back, ship
+
+#: Bytes of a batch that a Python worker is given at once, unless the session asks for less.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: Matches one character of a word (Java regular expression).
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -18,9 +23,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one only where none is set."""
+    """The folder that driver and executors share, as the cluster names it; a local one only in a session without executors."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -45,6 +52,23 @@ def words_of(text):
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs without the columns that an operator adds: what it adds replaces a column of the same name."""
+    lower = {n.lower() for n in names}
+    if not any(c.lower() in lower for c in docs.columns):
+        return docs
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in lower])
+
+
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; a worker gives back the memory of a task at its end."""
+    spark = df.sparkSession
+    ship(spark)
+    if int("".join(filter(str.isdigit, spark.conf.get(BATCH_CONF))) or 0) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)

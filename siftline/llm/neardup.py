@@ -7,10 +7,12 @@ at ranks below a threshold chosen so that about k ln k + 2k darts fall in its ow
 of the k coordinates: two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 Time is linear in the document plus its darts, not k times the document.
 
-Signatures are cut into bands. Documents that share a band are candidates; candidates are compared exactly on their
-whole texts, and links (similarity 0.8 or more) are joined into classes. Within a band's bucket the pairs are not
-listed: every member is compared with one hub, and what then is still apart is compared across components, pair by pair
-if these are no more than a few per member, else side by side in blocks that don't list pairs. Documents with equal word sequences are one node from the start.
+Signatures are cut into bands. Documents that share a band are candidates; every candidate pair whose documents aren't in
+one class already is compared exactly, on whole texts, and links (similarity 0.8 or more) are joined into classes. Within a
+band's bucket the pairs are not listed: every member is compared with one hub; what then is still apart is compared
+across classes, as pairs in small buckets and, in large ones, side by side in squares that count all overlaps as one matrix
+product. Both ways compare the same pairs exactly, so that the ways differ in cost only. Documents with equal word
+sequences are one node from the start.
 
 Defined results: texts without words (null, empty, white space) are in no class but their own; a text of one to four
 words has one shingle, of all its words; repeated texts are one class; repeated ids count as one document each row
@@ -36,9 +38,6 @@ SIMILAR = 0.8
 #: k = ROWS * BANDS coordinates. A pair of similarity 0.8 shares no band with a probability of 5 in a million.
 ROWS, BANDS = 6, 40
 K = ROWS * BANDS
-#: One bit of every coordinate, in LONGS words of 60. Bits of a pair of similarity s differ with probability (1 - s) / 2.
-LONGS = K // 60
-BITS = [f"b{i}" for i in range(LONGS)]
 
 _PLACE = [fixed(f"shingle {i}") | np.uint64(1) for i in range(SHINGLE)]
 _SHORT, _COPY, _RANK, _COORD, _BAND, _OWNER = (fixed(x) for x in ("short", "copy", "rank", "coordinate", "band", "owner"))
@@ -129,19 +128,17 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             banded = (sign.reshape(b - a, BANDS, ROWS) * weave).sum(axis=2, dtype=np.uint64)
             banded = mix(banded + np.arange(1, BANDS + 1, dtype=np.uint64) * _BAND).view(np.int64)
             digest = _digests(words, first)
-            bit = ((sign & np.uint64(1)).reshape(b - a, LONGS, 60) << np.arange(60, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(a, b - a), pa.array(np.diff(first)), pa.array(np.bincount(owner, minlength=b - a)), pa.array(digest[:, 0]), pa.array(digest[:, 1]),
-                 *[pa.array(bit[:, i]) for i in range(LONGS)],
                  pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(banded.ravel()))],
-                names=["id", "n_words", "weight", "d1", "d2", *BITS, "bands"],
+                names=["id", "n_words", "weight", "d1", "d2", "bands"],
             )
 
 
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_words, weight, d1, d2, b0.., bands) of every document; weight is the number of shingles, b0.. the bits."""
+    """(id, n_words, weight, d1, d2, bands) of every document; weight is the number of shingles."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    return arrow_map(rows, _sketch, "id long, n_words long, weight long, d1 long, d2 long, " + "".join(f"{b} long, " for b in BITS) + "bands array<long>")
+    return arrow_map(rows, _sketch, "id long, n_words long, weight long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(texts: pa.ChunkedArray) -> list[np.ndarray]:
@@ -180,20 +177,20 @@ def _compared(least: float):
     return run
 
 
-#: Bytes of text that a block of pairs names at most, on average, if none of its texts are shared.
-PAIR_BYTES = 32 << 20
+#: Bytes of text that a block of pairs names, about, if none of its texts are shared.
+PAIR_BYTES = 16 << 20
 
 
 def linked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts (id, text) are similar enough, compared exactly.
 
-    Pairs are dealt to a square of blocks by both of their ids, so that a hub's pairs spread over a row of blocks, and
-    each text goes once to every block that names it.
+    Pairs are dealt to even blocks by their first id, and each text goes once to every block that names it: a text that
+    many pairs name second, a hub, travels to all blocks, and their pairs are split.
     """
     pairs = cut(pairs)
     size = texts.agg(F.avg(F.octet_length("text"))).first()[0] or 0
-    side = int(max(pairs.count() * 2 * size / PAIR_BYTES, 2 * pairs.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1
-    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side)))
+    n = int(max(pairs.count() * 2 * size / PAIR_BYTES, pairs.sparkSession.sparkContext.defaultParallelism)) + 1
+    dealt = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(n)))
     named = dealt.select("block", F.col("a").alias("id")).union(dealt.select("block", "b")).distinct().join(texts, "id").toDF("id", "of", "text")
     ship(pairs.sparkSession)
     return dealt.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(_compared(least), "a long, b long")
@@ -203,63 +200,62 @@ def _pairs(x: str, y: str) -> list:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def _furthest(least: float) -> int:
-    """Most bits in which a pair of similarity least may differ: five standard deviations above the mean."""
-    p = (1 - least) / 2
-    return int(K * p + 5 * (K * p * (1 - p)) ** 0.5)
+def _weighs(least: float, x: str, y: str):
+    """Similarity is at most the ratio of the weights: an exact bound."""
+    return F.least(x, y) >= F.lit(least) * F.greatest(x, y)
 
 
-def _near(least: float, x: str = "x", y: str = "y"):
-    """May the nodes (structs of id, weight and bits) be similar? Weights bound the similarity from above; the bits'
-    distance rules out what _furthest leaves (missed: 3 pairs of similarity 0.8 in a million)."""
-    lighter, heavier = F.least(f"{x}.weight", f"{y}.weight"), F.greatest(f"{x}.weight", f"{y}.weight")
-    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS)
-    return (lighter >= F.lit(least) * heavier) & (apart <= _furthest(least))
+#: Members up to which the pairs of a bucket are listed (at most half as many for each), documents of a side, and cells
+#: that are counted at once.
+LISTED, SIDE, COLUMNS = 64, 512, 4096
 
 
 def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links that join all similar candidates. members: (bucket, x, y), a row per member x of a shared bucket of hub y."""
-    first = members.where("x.id <> y.id").where(_near(least)).select(*_pairs("x.id", "y.id")).distinct()
+    """Links that join all similar candidates. members: (bucket, id, weight, hub, hub_weight), a row per member of a shared bucket."""
+    first = members.where("id <> hub").where(_weighs(least, "weight", "hub_weight")).select(*_pairs("id", "hub")).distinct()
     edges = cut(linked(first, texts, least))
     class_of = cut(components(edges)).withColumnRenamed("id", "_id")
-    # Buckets whose members are not yet one component, by how many pairs across components they hold.
-    placed = members.join(class_of, F.col("x.id") == F.col("_id"), "left").select("bucket", "x", F.coalesce("component", "x.id").alias("component"))
-    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    apart = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("c")).where("c > 1")
-    open_ = cut(placed.join(cut(apart), "bucket").select("bucket", "x", "component", "n", "squares"))
-    rows, across = open_.agg(F.count("*"), F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()
-    if not rows:
-        return edges
-    if across > 8 * rows:
-        return cut(edges.union(_squares(open_, texts, least)))
-    left, right = open_.select("bucket", "x", "component"), open_.select("bucket", F.col("x").alias("y"), F.col("component").alias("theirs"))
-    pairs = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("component") < F.col("theirs")) & _near(least))
-    return cut(edges.union(linked(pairs.select(*_pairs("x.id", "y.id")).distinct(), texts, least)))
-
-
-#: Documents of a side of a square, about.
-SIDE = 512
-
-
-def _squares(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links across components within groups of documents that open buckets tie together, candidates or not.
-
-    A group is cut into sides by a hash of the id, and each pair of sides is compared in one task, which gives a
-    spanning forest of the links found. A document is sent once per side of its group; pairs aren't listed.
-    """
-    nodes = open_.select("x", "component").distinct()
-    firsts = cut(open_.groupBy("bucket").agg(F.min("x.id").alias("b")))
-    groups = cut(components(open_.select("bucket", F.col("x.id").alias("a")).join(firsts, "bucket").select("a", "b")))
-    sizes = cut(groups.groupBy("component").agg(F.ceil(F.count("*") / SIDE).cast("int").alias("sides")))
-    placed = nodes.withColumn("id", F.col("x.id")).join(groups.withColumnRenamed("component", "of"), "id").join(sizes.withColumnRenamed("component", "of"), "of")
-    placed = placed.withColumn("side", F.pmod(F.xxhash64("id"), "sides").cast("int")).join(texts, "id")
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    sent = sent.select("of", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "id", "component", "x.weight", *[f"x.{b}" for b in BITS], "text")
-    furthest = _furthest(least)
+    # Buckets whose members are not yet one class.
+    placed = members.join(class_of, F.col("id") == F.col("_id"), "left").select("bucket", "id", "weight", F.coalesce("component", "id").alias("component"))
+    apart = placed.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("c > 1")
+    open_ = cut(placed.join(cut(apart.select("bucket", "n")), "bucket").select("bucket", "id", "weight", "component", "n"))
+    few = open_.where(F.col("n") <= LISTED).select("bucket", "id", "weight", "component")
+    across = few.join(few.toDF("bucket", "id2", "weight2", "component2"), "bucket").where("component < component2").where(_weighs(least, "weight", "weight2"))
+    edges = edges.union(linked(across.select(*_pairs("id", "id2")).distinct(), texts, least))
+    many = open_.where(F.col("n") > LISTED)
+    return cut(edges if many.isEmpty() else edges.union(_squares(many.drop("n"), texts, least)))
+
+
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of one shares with each of two, as products of their 0-1 matrices, COLUMNS wide."""
+    shared = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    out = np.zeros((len(one), len(two)), np.int64)
+
+    def placed(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        cell, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(shared, cell), max(len(shared) - 1, 0))
+        hit = shared[at] == cell if len(shared) else np.zeros(len(cell), bool)
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    sides = [(*placed(one), len(one)), (*placed(two), len(two))]
+    for begin in range(0, len(shared), COLUMNS):
+        grids = []
+        for at, owner, n in sides:
+            mine = slice(*np.searchsorted(at, (begin, begin + COLUMNS)))
+            grid = np.zeros((n, COLUMNS), np.float32)
+            grid[owner[mine], at[mine] - begin] = 1
+            grids.append(grid)
+        out += (grids[0] @ grids[1].T).astype(np.int64)
+    return out
+
+
+def _square(least: float):
+    """For the documents of two sides (or one) of a group: a spanning forest of the links between classes that they hold."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, side, weight, place = (table.column(c).to_numpy() for c in ("id", "side", "weight", "component"))
-        bits = np.stack([table.column(b).to_numpy() for b in BITS], axis=1)
         up = {int(c): int(c) for c in place}
 
         def root(c: int) -> int:
@@ -268,26 +264,49 @@ def _squares(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 c = up[c]
             return c
 
-        low, high = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        if table.column("one")[0] != table.column("two")[0] and side.min() == side.max():
-            low = low[:0]
-        sets = _sets(table.column("text"))
+        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+        low, high = np.flatnonzero(side == one), np.flatnonzero(side == two)
         found = []
-        for at in range(0, len(low), 64):
-            part = low[at : at + 64]
-            apart = np.bitwise_count(bits[part][:, None, :] ^ bits[high][None, :, :]).sum(axis=2, dtype=np.int64)
-            light, heavy = np.minimum.outer(weight[part], weight[high]), np.maximum.outer(weight[part], weight[high])
-            a, b = np.nonzero((apart <= furthest) & (light >= least * heavy) & (place[part][:, None] != place[high][None, :]))
-            order = np.argsort(apart[a, b], kind="stable")
-            for i, j in zip(part[a[order]].tolist(), high[b[order]].tolist()):
+        if len(low) and len(high):
+            buckets = [np.unique(np.array(x, np.int64)) for x in table.column("buckets").to_pylist()]
+            sets = _sets(table.column("text"))
+            pick = lambda values, at: [values[i] for i in at.tolist()]
+            candidates = _overlaps(pick(buckets, low), pick(buckets, high)) > 0
+            shared = _overlaps(pick(sets, low), pick(sets, high))
+            similar = shared >= least * (weight[low][:, None] + weight[high][None, :] - shared)
+            for i, j in zip(*np.nonzero(candidates & similar & (place[low][:, None] != place[high][None, :]))):
+                i, j = low[i], high[j]
                 p, q = root(int(place[i])), root(int(place[j]))
-                if p != q and _similar(sets[i], sets[j], least):
+                if p != q:
                     up[max(p, q)] = min(p, q)
                     found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
+    return run
+
+
+def _squares(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links across classes between documents that share one of the open buckets (bucket, id, weight, component).
+
+    Documents that buckets tie together form a group. The largest class of a group and the rest are cut into sides by
+    bytes and a hash of the id; each pair of sides, but for two of the largest class, is compared in one task, which gives
+    a spanning forest of the links found. A document is sent once per side that it is compared with; pairs aren't listed.
+    """
+    firsts = cut(open_.groupBy("bucket").agg(F.min("id").alias("b")))
+    groups = cut(components(open_.select("bucket", F.col("id").alias("a")).join(firsts, "bucket").select("a", "b")).withColumnRenamed("component", "of"))
+    nodes = open_.groupBy("id", "weight", "component").agg(F.collect_set("bucket").alias("buckets")).join(groups, "id")
+    sized = cut(nodes.join(texts, "id"))
+    parts = sized.groupBy("of", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sides = lambda n, size: F.greatest(F.ceil(n / SIDE), F.ceil(size / PAIR_BYTES)).cast("int")
+    whole = parts.groupBy("of").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component")).alias("top"))
+    whole = cut(whole.select("of", F.col("top.component").alias("top"), sides(F.col("top.n"), F.col("top.bytes")).alias("tops"), sides(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("others")))
+    at_top, dealt = F.col("component") == F.col("top"), F.xxhash64("id")
+    placed = sized.join(whole, "of").withColumn("side", F.when(at_top, F.pmod(dealt, "tops")).otherwise(F.col("tops") + F.pmod(dealt, "others")).cast("int"))
+    last = F.col("tops") + F.col("others") - 1
+    sent = placed.withColumn("other", F.explode(F.sequence(F.when(at_top, F.col("tops")).otherwise(0), last)))
+    sent = sent.select("of", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "id", "component", "weight", "buckets", "text")
     ship(open_.sparkSession)
-    return sent.groupBy("of", "one", "two").applyInArrow(run, "a long, b long")
+    return sent.groupBy("of", "one", "two").applyInArrow(_square(least), "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -295,17 +314,16 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sketch = cut(sketches(docs, key, text))
     worded = sketch.where("n_words > 0 AND id IS NOT NULL")
-    # A node for each sequence of words. Equal sequences have equal sketches, so any of them will do.
-    same = [F.first(c).alias(c) for c in ("weight", *BITS, "bands")]
-    nodes = cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("n"), *same))
-    # Ids alone are dealt by bucket; weights and bits follow where a bucket is shared.
-    banded = nodes.select("id", F.explode("bands").alias("bucket"))
-    known = nodes.select("id", F.struct("id", "weight", *BITS).alias("x"))
+    # A node for each sequence of words. Bands go with the row of the least id, so that the aggregation holds numbers alone.
+    nodes = cut(worded.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count("*").alias("n")))
+    known = cut(worded.join(nodes.select("d1", "d2", "id"), ["d1", "d2", "id"]).select("id", "weight", "bands").dropDuplicates(["id"]))
+    banded = known.select("id", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("id").alias("id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    weights = known.select("id", "weight")
     # Written out before the join, so that the join deals both sides itself and can split a bucket that many share.
-    shared = cut(hubs.join(known.withColumnRenamed("x", "y"), "id").select("bucket", "y"))
-    members = cut(banded.join(shared, "bucket").join(known, "id").select("bucket", "x", "y"))
-    wanted = members.select("x.id").distinct()
+    shared = cut(hubs.join(weights, "id").select("bucket", F.col("id").alias("hub"), F.col("weight").alias("hub_weight")))
+    members = cut(banded.join(shared, "bucket").join(weights, "id").select("bucket", "id", "weight", "hub", "hub_weight"))
+    wanted = members.select("id").distinct()
     texts = cut(rows.join(wanted, "id").dropDuplicates(["id"]))
     joined = components(_links(members, texts, least))
     copies = nodes.where("n > 1").select("d1", "d2", F.col("id").alias("node"))

@@ -138,25 +138,78 @@ def test_signatures_estimate_weighted_jaccard():
         assert abs((sign[0] == sign[1]).mean() - true) < 0.05 and (sign != 0).all()
 
 
-def test_squares_find_what_pairs_find(docs, monkeypatch):
-    """The path for buckets that stay apart: force it, and compare classes."""
-    want = {r.id: r.class_id for r in neardup.classes(docs).collect()}
-    real = neardup._squares
-    monkeypatch.setattr(neardup, "SIDE", 4)
-    monkeypatch.setattr(neardup, "linked", lambda p, t, least: p.limit(0))
-    calls = []
+def all_links(texts):
+    """Classes by comparing all pairs; the share of shingles is counted by inverted lists."""
+    sets = {i: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for i, t in texts if (w := t.split())}
+    holders, up, close = collections.defaultdict(list), {i: i for i, _ in texts}, []
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    shared = collections.Counter()
+    for x, ids in holders.items():
+        for a, b in itertools.combinations(ids, 2):
+            shared[a, b] += min(sets[a][x], sets[b][x])
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (sets[a].total() + sets[b].total() - n):
+            close.append((a, b, n / (sets[a].total() + sets[b].total() - n)))
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return {i: root(i) for i in up}, close
+
+
+def crowd(rng, groups, size):
+    """Groups of copies, each with a few words changed: pairs of all similarities about the bound."""
+    rows = []
+    for g in range(groups):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for _ in range(size):
+            t = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                t[rng.randrange(120)] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Some 2,500 documents in groups of five: links found by comparing all pairs are in one class, and no others are."""
+    rows = crowd(random.Random(12), 500, 5)
+    want, close = all_links(rows)
+    got = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(close) > 2000 and sum(s < 0.85 for *_, s in close) > 200
+    assert sum(got[a] == got[b] for a, b, _ in close) >= 0.9999 * len(close)
+    assert got == want
+
+
+@pytest.mark.parametrize("listed", [0, 64, 10**6])
+def test_listed_pairs_and_squares_give_the_same_classes(spark, monkeypatch, listed):
+    rows = crowd(random.Random(13), 3, 150)
+    monkeypatch.setattr(neardup, "LISTED", listed)
+    monkeypatch.setattr(neardup, "SIDE", 16)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
+    calls, real = [], neardup._squares
     monkeypatch.setattr(neardup, "_squares", lambda *a: calls.append(1) or real(*a))
-    source = neardup._links.__globals__
-    nodes = neardup.sketches(docs).where("n_words > 0").dropDuplicates(["d1", "d2"])
-    banded = nodes.select(F.struct("id", "weight", *neardup.BITS).alias("x"), F.explode("bands").alias("bucket"), F.col("id").alias("component"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    found = {(r.a, r.b) for r in source["_squares"](banded, texts, 0.8).collect()}
-    assert calls and found
-    pairs = {(max(a, b), min(a, b)) for a, b in found}
-    assert all(want[a] == want[b] for a, b in pairs)
+    got = {r.id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_links(rows)[0] and bool(calls) == (listed < 10**6)
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(0)
+    one, two = ([np.unique(rng.integers(0, 60, n)).astype(np.uint64) for n in sizes] for sizes in ((0, 5, 40, 3), (10, 0, 60)))
+    assert neardup._overlaps(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("heavy", [10**6, 3])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(components, "HEAVY", heavy)
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (None, 1)]
     up = {}
@@ -276,6 +329,30 @@ def test_bpe_odd_texts_and_trees(library):
         assert tool.tree(letters, rng.choice([1, 2, 5, 17])) == library.encode(s, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("leaf", [1, 3, 16, 64])
+def test_bpe_texts_as_trees(library, monkeypatch, leaf):
+    """Every text is a tree of leaves of a few bytes, cut anywhere."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "TEXT_LEAF", leaf)
+    rng, grown, real = random.Random(leaf), [], bpe.Encoder.grown
+    monkeypatch.setattr(bpe.Encoder, "grown", lambda self, data, nodes: grown.append(len(nodes)) or real(self, data, nodes))
+    texts = ["".join(rng.choice(["<|endoftext|>", "ab", "B", "1", " ", "\n", "'s", "!", "É", "日", "á̂", " the", "x" * 30]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    got = [ids[x:y].tolist() for _, _, ids, at in bpe.encoded(pa.array(texts), bpe.default_path()) for x, y in zip(at, at[1:])]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)] and max(grown) >= 8
+
+
+def test_bpe_long_documents_go_through_the_tree(spark, library, monkeypatch):
+    """Whole rows above every threshold: long prose, one long word, and prose with long words in it; clashing columns go."""
+    rng = random.Random(7)
+    texts = [text(rng, 6000), "ab1" * 30000, "x" * 9000 + " " + text(rng, 3000) + " " + "é" * 7000, text(rng, 20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"ids": F.lit("i"), "decoded": F.lit(1)})
+    got = {r.doc_id: r for r in bpe.decode(bpe.encode(df)).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].decoded == library.decode(ids, skip_special_tokens=False)
+
+
 def test_token_files(docs, library, spark, tmp_path):
     tokenfile.write(docs, str(tmp_path / "t"))
     start = 0
