@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, without
 
 #: Largest mean that is inverted in one draw, and steps of the inversion: P(X > STEPS | PART) < 1e-12.
 PART, STEPS = 8.0, 40
@@ -75,8 +75,9 @@ def mix(
     """Documents repeated to the target weights, in a global random order.
 
     weights: target share by source; None aims at size ** exponent. epochs: size of the mixture over that of the
-    sources used. extra: also return copy_no, n_copies and shuffle_key, which otherwise go.
+    sources used. extra: also return copy_no, n_copies and shuffle_key, which otherwise go, in place of columns so named.
     """
+    docs = without(docs, "copy_no", "n_copies", "shuffle_key") if extra else docs
     spark = docs.sparkSession
     rates = source_rates(cut(source_sizes(docs, source, text)), weights, exponent, epochs)
     cols = [F.col(f"`{c}`") for c in docs.columns]

@@ -51,20 +51,11 @@ POLICIES = {
 BASE, FULL = POLICIES["base-1"], POLICIES["full-1"]
 
 
-def _keyed(windows: Column, n: Column) -> Column:
-    """The window hashes with their positions in the low bits, sorted: longs sort far faster than structs."""
-    bits = F.when(n < 1 << 22, 22).otherwise(32)
-    keyed = F.transform(windows, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long")))
-    return F.sort_array(keyed)
-
-
-def _repeated(keyed: Column, windows: Column, n: Column) -> Column:
-    """Sorted positions of the windows that occur twice or more. Whole hashes decide, not the part that was sorted."""
-    bits = F.when(n < 1 << 22, 22).otherwise(32)
-    at = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
-    top = lambda x: F.call_function("shiftright", x, bits)
-    same = lambda a, b: (top(a) == top(b)) & (F.get(windows, at(a)) == F.get(windows, at(b)))
-    pairs = F.zip_with(F.slice(keyed, 1, n - 3), F.slice(keyed, 2, n - 3), lambda a, b: F.when(same(a, b), F.array(at(a), at(b))))
+def _repeated(windows: Column) -> Column:
+    """Sorted positions of the windows that occur twice or more: whole hashes are sorted with their positions."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rest = F.size(windows) - 1
+    pairs = F.zip_with(F.slice(placed, 1, rest), F.slice(placed, 2, rest), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     return F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda p: p.isNotNull()))))
 
 
@@ -77,8 +68,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     triples = F.arrays_zip(F.slice("_w", 1, n - 2), F.slice("_w", 2, n - 2), F.slice("_w", 3, n - 2))
     df = df.withColumn("_h", F.when(n >= 4, F.transform(triples, lambda x: F.xxhash64(x))))
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.withColumn("_k", F.when(repeats, _keyed(F.col("_h"), n)))
-    df = df.withColumn("_p", F.when(F.col("_k").isNotNull(), _repeated(F.col("_k"), F.col("_h"), n)))
+    df = df.withColumn("_p", F.when(repeats, _repeated(F.col("_h"))))
     steps = F.zip_with(F.slice("_p", 1, F.size("_p") - 1), F.slice("_p", 2, F.size("_p") - 1), lambda a, b: F.least(b - a, F.lit(3)))
     covered = F.aggregate(steps, F.lit(0), lambda s, x: s + x) + 3
     t = F.col("_t")

@@ -1,26 +1,29 @@
 """Secret scans: fixed patterns, and strings that look random under character Markov models.
 
 Base kinds are patterns. Beyond them, every long run of token characters is scored by two first-order Markov models of
-characters, one of random strings and one of ordinary identifiers; a run whose log-likelihood ratio exceeds a threshold
-is a secret of kind `markov`. Both models are counted from labelled samples: runs inside base matches and digests of
-the rows' own ids (random), and the other runs of a hash-chosen bounded sample of the texts (ordinary).
+characters, one of random strings and one of ordinary identifiers, each with the chances of a first character, of each
+next one, and of ending after each; a run whose log-likelihood ratio exceeds a threshold is a secret of kind `markov`.
+Both models are counted from labelled samples: runs inside base matches and strings drawn from digests of the rows' ids
+(random), and the runs outside base matches (ordinary) of a hash-chosen bounded sample of the texts. A fifth of the
+labelled runs is held out; the threshold is the least that no more than FALSELY of the held-out ordinary runs exceed.
 
 Everything is Column expressions: a text without a hit costs one scan per kind, and only texts with a hit are cut up to
 find positions. Positions are code points, ends exclusive.
 
 Defined results: a null or empty text has no spans; one without secrets returns as it was; overlapping spans of
 different kinds are all reported, and redacted as one; `markov` spans that overlap a base span are not added; repeated rows are
-scanned one by one; an empty table gives an empty result and models without evidence, which accept nothing.
+scanned one by one; texts may be of any length; an empty table gives an empty result and a model that accepts nothing.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
 #: Base kinds in reporting order: pattern, the group whose length counts, and its least length. Fixed values.
 BASE = {
@@ -33,8 +36,8 @@ RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 #: Runs of this length and more teach the model of ordinary identifiers.
 LEARN_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Documents that the models learn from, about; least log-likelihood ratio of a secret: e**14, a million to one.
-LEARN_DOCS, LEAST_RATIO = 4000, 14.0
+#: Documents that the models learn from, about; share of held-out ordinary runs that may be taken for secrets.
+LEARN_DOCS, FALSELY = 4000, 0.0005
 #: Private-use characters that mark matches; those of the text itself are replaced, one for one, before.
 _S, _E = "\ue000", "\ue001"
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
@@ -66,54 +69,80 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-def _pairs(run: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, 2))
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios by pair of character codes (0: beginning and end), the least ratio of a secret, and what it
+    gave on the held-out runs: the shares of random ones caught and of ordinary ones taken for secrets."""
 
+    table: tuple[float, ...] = ()
+    least: float = math.inf
+    caught: float = 0.0
+    falsely: float = 0.0
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", learn_docs: int = LEARN_DOCS) -> list[float]:
-    """Log-likelihood ratios by character pair, as a flat table over ALPHABET x ALPHABET.
 
-    learn_docs bounds the labelled sample: about that many documents, chosen by a hash of the id.
-    """
-    spark = docs.sparkSession
+CODES = len(ALPHABET) + 1
+
+
+def _codes(run: Column) -> Column:
+    chars = F.filter(F.split(run, ""), lambda c: c != "")
+    return F.concat(F.array(F.lit(0)), F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)), F.array(F.lit(0)))
+
+
+def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", learn_docs: int = LEARN_DOCS) -> DataFrame:
+    """(label, run): 1 for random strings, 0 for ordinary runs, from about learn_docs documents chosen by a hash of the id."""
     share = max(1, docs.count() // learn_docs)
-    sample = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("learn")), F.lit(share)) == 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    matches = F.concat(*[F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1)) for p, _, _ in BASE.values()])
-    secret = sample.select(F.explode(matches).alias("m")).select(F.explode(F.regexp_extract_all("m", F.lit(r"([A-Za-z0-9+/_=-]{16,})"), F.lit(1))).alias("run"))
-    digest = F.sha2(F.concat(F.lit("random"), F.coalesce(F.col("k").cast("string"), F.lit(""))), 256)
-    drawn = sample.select(F.explode(F.array(F.substring(digest, 1, 40), F.base64(F.unhex(digest)))).alias("run"))
-    words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(f"({LEARN_RUN})"), F.lit(1))).alias("run"))
-    plain = words.where(~F.col("run").rlike("|".join(p for p, _, _ in BASE.values())))
-    random = secret.union(drawn).withColumn("label", F.lit(1))
-    # At most 2 * len(ALPHABET)**2 rows come to the driver.
-    counts = random.union(plain.withColumn("label", F.lit(0))).select("label", F.explode(_pairs(F.col("run"))).alias("pair")).groupBy("label", "pair").count().collect()
-    k = len(ALPHABET)
-    seen = {0: [0.5] * (k * k), 1: [0.5] * (k * k)}
-    for label, pair, n in counts:
-        if len(pair) == 2 and pair[0] in ALPHABET and pair[1] in ALPHABET:
-            seen[label][ALPHABET.index(pair[0]) * k + ALPHABET.index(pair[1])] += n
-    rows = {label: [sum(c[i * k : i * k + k]) for i in range(k)] for label, c in seen.items()}
-    if not counts:
-        return [0.0] * (k * k)
-    return [round(math.log(seen[1][i] / rows[1][i // k]) - math.log(seen[0][i] / rows[0][i // k]), 4) for i in range(k * k)]
-
-
-def ratio(run: Column, model: list[float]) -> Column:
+    chosen = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("learn")), F.lit(share)) == 0
+    sample = cut(docs.where(chosen).select(F.col(f"`{key}`").cast("string").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")))
+    base = "|".join(f"(?:{p})" for p, _, _ in BASE.values())
+    runs = lambda column, pattern: F.explode(F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1)))
+    secret = sample.select(F.explode(F.regexp_extract_all("t", F.lit(f"({base})"), F.lit(0))).alias("m")).select(runs("m", "[A-Za-z0-9+/_=-]{16,}").alias("run"))
+    # Digests in hexadecimal and base 64, cut to 16 up to 43 characters.
+    digest, long = F.sha2(F.concat(F.lit("random"), F.coalesce("k", F.lit(""))), 256), F.pmod(F.xxhash64("k"), F.lit(28)).cast("int") + 16
+    drawn = sample.select(F.explode(F.array(F.substring(digest, F.lit(1), long), F.substring(F.base64(F.unhex(digest)), F.lit(1), long))).alias("run"))
+    plain = sample.select(F.regexp_replace("t", base, " ").alias("t")).select(runs("t", LEARN_RUN).alias("run"))
+    return secret.union(drawn).select(F.lit(1).alias("label"), "run").union(plain.select(F.lit(0), "run"))
+
+
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", learn_docs: int = LEARN_DOCS) -> Model:
+    """The models of a table, and the threshold that its held-out runs give."""
+    runs = cut(labelled(docs, key, text, learn_docs).withColumn("held", F.pmod(F.xxhash64("run", F.lit("fold")), F.lit(5)) == 0))
+    pairs = F.arrays_zip(F.slice(_codes(F.col("run")), 1, F.length("run") + 1).alias("a"), F.slice(_codes(F.col("run")), 2, F.length("run") + 1).alias("b"))
+    # At most 2 * CODES**2 rows come to the driver.
+    counts = runs.where("NOT held").select("label", F.inline(pairs)).groupBy("label", "a", "b").count().collect()
+    if {label for label, *_ in counts} != {0, 1}:
+        return Model()
+    seen = {0: [0.5] * CODES**2, 1: [0.5] * CODES**2}
+    for label, a, b, n in counts:
+        seen[label][a * CODES + b] += n
+    rows = {label: [sum(c[i * CODES : i * CODES + CODES]) for i in range(CODES)] for label, c in seen.items()}
+    table = tuple(round(math.log(seen[1][i] / rows[1][i // CODES]) - math.log(seen[0][i] / rows[0][i // CODES]), 4) for i in range(CODES**2))
+    scored = cut(runs.where("held").where(F.length("run") >= 16).select("label", ratio(F.col("run"), table).alias("ratio")))
+    # Without ordinary runs of a secret's length, those of any length are the measure.
+    ordinary = scored.where("label = 0")
+    if ordinary.isEmpty():
+        ordinary = runs.where("held AND label = 0").select(F.lit(0).alias("label"), ratio(F.col("run"), table).alias("ratio"))
+    least = max(0.0, ordinary.agg(F.percentile("ratio", 1 - FALSELY)).first()[0] or 0.0)
+    over = lambda label: F.avg(F.when(F.col("label") == label, (F.col("ratio") > least).cast("double")))
+    caught, falsely = scored.agg(over(1), over(0)).first()
+    return Model(table, round(least, 4), caught or 0.0, falsely or 0.0)
+
+
+def ratio(run: Column, table: tuple[float, ...]) -> Column:
     """Log-likelihood ratio of random against ordinary for a run of ALPHABET's characters."""
-    table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")
-    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    step = lambda s, c: F.struct(
-        c.alias("last"), (s["sum"] + F.when((s["last"] >= 0) & (c >= 0), F.get(table, s["last"] * len(ALPHABET) + c)).otherwise(0.0)).alias("sum")
-    )
-    return F.aggregate(codes, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
+    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
+    step = lambda s, c: F.struct(c.alias("last"), (s["sum"] + F.get(ratios, s["last"] * CODES + c)).alias("sum"))
+    codes = _codes(run)
+    return F.aggregate(F.slice(codes, 2, F.size(codes)), F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
 
 
-def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds _base and _spans (all kinds, with _base) to docs: arrays of (start, kind, stop), by start and then kind."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    secret = lambda run: ratio(run, model) > LEAST_RATIO
-    runs = F.regexp_extract_all(t, F.lit(f"({RUN})"), F.lit(1))
-    found = F.when(F.exists(runs, secret), find(t, RUN, len(BASE), secret)).otherwise(F.array().cast(_SPAN))
+    found = F.array().cast(_SPAN)
+    if model.table:
+        secret = lambda run: ratio(run, model.table) > model.least
+        runs = F.regexp_extract_all(t, F.lit(f"({RUN})"), F.lit(1))
+        found = F.when(F.exists(runs, secret), find(t, RUN, len(BASE), secret)).otherwise(found)
     df = docs.withColumns({"_base": base_spans(t), "_markov": found})
     added = F.filter("_markov", lambda m: ~F.exists(F.col("_base"), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return df.withColumn("_spans", F.sort_array(F.concat("_base", added))).drop("_markov")
@@ -125,7 +154,7 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: list[float], text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, model: Model, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every span of the text replaced by the mask; overlapping spans become one mask. All rows stay."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rows = scan(docs.select(F.struct(*cols).alias("_row"), F.col(f"`{text}`").alias("_text")), model, "_text")

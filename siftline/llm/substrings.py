@@ -7,7 +7,7 @@ never cut apart by this; only a run of one word gets longer than WINDOW, and is
 
 A span is a run of sentences (or parts) that holds LEAST_WORDS words and either RUN sentences or SENTENCE_WORDS words, and
 that no shorter run of the same beginning or of the same end does; it is known by a 64-bit hash of its words. Every run
-that is long enough is thereby covered by spans inside it. Spans are joined over all documents; where one occurs again,
+that is long enough is thereby covered by spans inside it. A text that holds no such run is one span as a whole. Spans are joined over all documents; where one occurs again,
 all occurrences but the first (by document id, then position) are repeated, and every sentence that a repeated span
 covers is removed with the white space after it. Of any 51 words that repeat, cuts agree but for at most 8 words at the
 beginning and 8 at the end, and spans among them have at most 24 words: none is missed, wherever it is pasted. The
@@ -16,9 +16,10 @@ words before the first and after the last cut that agree stay.
 Within a document, only a span's first occurrence goes into the global join, so that a key meets each document once.
 The least document of a span comes from an aggregation that is summed before its shuffle.
 
-Defined results: a null text stays null and an empty one empty; texts without LEAST_WORDS words or RUN sentences have no span; equal
-texts repeat wholly, the least id keeps its text; rows that share an id count as one document and are treated alike; a row without an
-id only loses what repeats within itself; an empty table gives an empty one; other columns pass through `dedup`.
+Defined results: a null text stays null and an empty one empty; a text without words has no span; equal
+texts repeat wholly, however short, the least id keeps its text; rows that share an id count as one document and are treated alike; a row without an
+id only loses what repeats within itself; an empty table gives an empty one; other columns pass through `dedup`,
+but for those named like what it adds.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, cut, read
+from .common import arrow_map, cut, read, without
 from .words import blocks, fixed, mix, powers, span_hashes, text_bytes, word_spans
 
 RUN, LEAST_WORDS, SENTENCE_WORDS, WINDOW = 3, 12, 25, 8
@@ -93,6 +94,8 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     more = (back >= first[owner]) & (end[back] != stop) if n else np.zeros(0, bool)
     whole = end <= first[1:][owner]
     begin, end = np.concatenate((begin[whole], back[more])), np.concatenate((end[whole], stop[more]))
+    short = np.flatnonzero((np.diff(first) > 0) & (np.bincount(owner[begin], minlength=len(first) - 1) == 0))
+    begin, end = np.concatenate((begin, first[short])), np.concatenate((end, first[short + 1]))
     order = np.lexsort((end, begin))
     begin, end = begin[order], end[order]
     up, down = powers(len(words) + 1)
@@ -143,6 +146,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated sentences removed from the text; adds n_sentences and n_removed."""
+    docs = without(docs, "n_sentences", "n_removed")
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     found = arrow_map(rows.where("id IS NOT NULL"), _emit, "span long, id long, at int")
     # Written out, so that the join below deals both sides itself and can split a span that a third of all documents hold.
