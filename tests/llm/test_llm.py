@@ -445,25 +445,25 @@ def test_maxent(docs, clash):
 
 def test_maxent_gives_slots_to_rare_words_and_steps_every_8192_tokens(spark, monkeypatch):
     monkeypatch.setattr(maxent, "HEAD", 50)
-    rows = [(0, 3, 10**6)] + [(w, w % 40, 5 + w % 3) for w in range(1, 100)]
+    rows = [(0, 3, 10**6)] + [(w, w % 40, 5 + w % 3) for w in range(1, 100)] + [(200, 1, 1), (201, 1, 2), (202, 2, 2)]
     totals = spark.createDataFrame(rows, "word long, ending int, c long")
     m = maxent.counted(totals, spark.createDataFrame([(-1, 64 * e, 1) for e in range(40)], "block int, word long, n long"))
     first = sorted(rows, key=lambda r: (-r[2], r[0]))[:50]
     assert sorted(m.head.tolist()) == sorted(r[0] for r in first)
+    assert (m.types, m.once, m.twice, m.bits) == (103, 1, 2, maxent.rows_bits(103)) and maxent.rows_bits(4 * 10**6) == 13 and maxent.rows_bits(4 * 10**8) == 17
     steps, n = [], 32768
     monkeypatch.setattr(m, "_step", lambda weights, row, error, state: steps.append(len(row)))
     rng = np.random.default_rng(1)
-    m.learn(rng.integers(1, 2**62, n).astype(np.uint64), rng.integers(0, 40, n), np.array([0, n]), {"wide": [None] * 3, "deep": None})
+    m.learn(rng.integers(1, 2**62, n).astype(np.uint64), rng.integers(0, 40, n), np.array([0, n]), [None] * 4)
     assert steps == [8192] * 16
 
 
-def test_maxent_is_a_distribution():
-    """Over all words of a small model, with unseen ones as one event, probabilities sum to one."""
-    rng = np.random.default_rng(0)
+def small_model(rng):
+    """A model of 300 words with three slots per class, and its words, endings and counts."""
     words = rng.integers(1, 2**62, 300).astype(np.uint64)
     words.sort()
     signs, counts = rng.integers(0, maxent.ENDINGS, 300), rng.integers(1, 50, 300)
-    m = maxent.Model(total=int(counts.sum()), types=300, once=20, class_of=rng.integers(0, maxent.CLASSES, maxent.ENDINGS))
+    m = maxent.Model(total=int(counts.sum()), types=300, once=20, twice=10, class_of=rng.integers(0, maxent.CLASSES, maxent.ENDINGS))
     slots, heads, used, mass = np.zeros((maxent.CLASSES, maxent.SLOTS)), [], np.zeros(maxent.CLASSES, int), np.zeros(maxent.CLASSES)
     for w, s, c in zip(words, signs, counts):
         k = m.class_of[s]
@@ -475,14 +475,66 @@ def test_maxent_is_a_distribution():
     m.head, m.head_class, m.head_slot = (np.array([h[i] for h in heads], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
     m.tail = mass - slots.sum(axis=1)
     slots[:, 0] = m.tail
-    m.class_bias, m.slot_bias = np.log(np.maximum(mass, 1e-30)).astype(np.float32), np.where(slots > 0, np.log(np.maximum(slots, 1e-9)), -80).astype(np.float32)
-    m.wide, m.deep = rng.normal(size=m.wide.shape).astype(np.float32), rng.normal(size=m.deep.shape).astype(np.float32)
-    total = 10 ** m.log10(np.array([7], np.uint64), np.array([0]), np.array([0, 1]), np.array([0]))[0]
+    m.class_bias, m.slot_bias = (np.where(x > 0, np.log(np.maximum(x, 1e-9)), -1e5).astype(np.float32) for x in (mass, slots))
+    return m, words, signs, counts
+
+
+@pytest.mark.parametrize("scale", [1, 60])
+def test_maxent_is_a_distribution(scale):
+    """Over all words of a small model, with the estimated number of unseen ones, probabilities sum to one; large weights too."""
+    rng = np.random.default_rng(0)
+    m, words, signs, counts = small_model(rng)
+    m.tables = [(rng.normal(size=t.shape) * scale).astype(np.float32) for t in m.tables]
+    share, left = m.unseen()
+    assert left == 20 * 20 / (2 * 10)
+    total = left * 10 ** m.log10(np.array([7], np.uint64), np.array([0]), np.array([0, 1]), np.array([0]))[0]
     for w, s, c in zip(words, signs, counts):
         total += 10 ** m.log10(np.array([w]), np.array([s]), np.array([0, 1]), np.array([c]))[0]
     assert abs(total - 1) < 1e-3
 
 
+def test_maxent_steps_follow_the_gradient():
+    """A step changes the rows met by the errors' sums, over the root of their squares, and no others."""
+    rng = np.random.default_rng(1)
+    m, row, error = maxent.Model(), np.minimum(rng.zipf(1.4, 3000) - 1, 4095).astype(np.int64), rng.normal(size=(3000, maxent.CLASSES)).astype(np.float32)
+    weights, state = np.zeros((4096, maxent.CLASSES), np.float32), (np.full(4096, 1e-2, np.float32), np.zeros(4096, np.int64))
+    m._step(weights, row, error, state)
+    sums = np.zeros((4096, maxent.CLASSES))
+    np.add.at(sums, row, error)
+    want = -maxent.RATE * sums / np.sqrt(1e-2 + (sums**2).mean(axis=1))[:, None]
+    assert np.allclose(weights, want, atol=1e-4) and (state[1] == np.bincount(row, minlength=4096)).all()
+
+
+def test_maxent_learns_from_history_on_held_out_known_tokens(spark, monkeypatch):
+    """Texts of a grammar in which the next word depends on the last: held-out known tokens gain over training, and each
+    unseen word costs about what the base score takes for it."""
+    rng = random.Random(3)
+    follow = {w: rng.sample(range(200), 4) for w in range(200)}
+    rows = []
+    for i in range(1500):
+        w, out = rng.randrange(200), []
+        for _ in range(60):
+            w = rng.choice(follow[w])
+            out.append(f"w{w}")
+        rows.append((i, " ".join(out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda rounds: [r for r in maxent.score(docs, rounds=rounds).collect() if r.held_out]
+    plain, taught = held(0), held(maxent.ROUNDS)
+    assert all(r.n_known == r.n_tokens for r in taught)
+    tokens = sum(r.n_tokens for r in taught)
+    base, before, after = (sum(x) / tokens for x in ([r.base_score for r in taught], [r.score for r in plain], [r.score for r in taught]))
+    assert abs(before - base) < 0.05 and after > before + 0.25
+    odd = docs.union(spark.createDataFrame([(10**6 + i, " ".join(f"odd{i}x{k}" for k in range(20))) for i in range(50)], docs.schema))
+    got = [r for r in maxent.score(odd).collect() if r.id >= 10**6 and r.held_out]
+    assert got and all(r.n_known == 1 and 0.5 * r.base_score > r.score > 2 * r.base_score for r in got)
+
+
+def test_maxent_odd_rows(spark):
+    rows = [(None, "a b c"), (1, "a b c"), (2, None), (2, ""), (3, "z" * 200000), (4, "a " * 50000)]
+    got = maxent.score(spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1))).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 2, 4, 4, 50001] and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav>
 <div class="ad">Buy this now, it is good.</div><article><h1>A &amp; B</h1><p><b>First.<br><p>Second   one,
 with a <a href="/x">link</a> in it. %s</p></article><footer>&copy; x.example</footer></body></html>"""
