@@ -15,7 +15,8 @@ All pages of a batch are one forest, and a message pass is one array operation p
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined in page order by a
 newline. Defined results: a null or empty page and one without content give ''; malformed markup closes as browsers do
-for p, li and table parts, and at the end of the page otherwise; repeated rows are extracted one by one; an empty table
+for p, li and table parts, and at the end of the page otherwise; a tag without an end is dropped with what it swallows; elements
+below DEEPEST levels become siblings; pages may be of any length, and are read in time in proportion to it; repeated rows are extracted one by one; an empty table
 gives an empty one; other columns aren't read.
 """
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, read
+from .common import arrow_map, read, without
 
 TRAIN_PAGES, SEEDED, ROUNDS, RATE = 150, 1, 80, 0.5
 #: Texts below these never show. Fixed values.
@@ -62,7 +63,9 @@ HINTS = [
 WIDE = ["link_share", "long_text", "short_text", "many_stops", "after_article", "in_hidden"]
 N_TAGS, N_FEATURES = len(TAGS), len(TAGS) + len(HINTS) + len(WIDE)
 _TAG = {t: i for i, t in enumerate(TAGS)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME, _STOP = re.compile(r"[A-Za-z][^\s/>]*"), re.compile("[>\"']")
+#: Elements may lie this deep; deeper ones become children of the last that may, as in browsers.
+DEEPEST = 512
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[\s ]+")
 
@@ -70,7 +73,10 @@ _SPACE = re.compile(r"[\s ]+")
 def parse(page: str) -> tuple[list[str], list[int], list[str], list[str]]:
     """Tags ('#text' for texts), parents, names (class, id, role) and texts of a page's nodes, in page order."""
     tags, parents, names, texts, open_ = ["html"], [-1], [""], [""], [0]
-    at, lower = 0, None
+    counts: dict[str, int] = {"html": 1}
+    at, shown, lower, n = 0, 0, None, len(page)
+    #: From where on the page has no such character, once that is known: no search goes over the rest twice.
+    none = {"'": n, '"': n}
 
     def add(tag: str, name: str = "", text: str = "") -> int:
         tags.append(tag)
@@ -79,45 +85,77 @@ def parse(page: str) -> tuple[list[str], list[int], list[str], list[str]]:
         texts.append(text)
         return len(tags) - 1
 
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        upto = m.start() if m else len(page)
-        if upto > at:
-            add("#text", text=page[at:upto])
-        if not m:
+    def close(depth: int) -> None:
+        for node in open_[depth:]:
+            counts[tags[node]] -= 1
+        del open_[depth:]
+
+    def tag_end(begin: int) -> int:
+        """The place of the '>' that ends a tag, quoted ones passed over; the page's end if there is none."""
+        while m := _STOP.search(page, begin):
+            quote, begin = m[0], m.end()
+            if quote == ">":
+                return m.start()
+            if begin < none[quote]:
+                other = page.find(quote, begin)
+                if other < 0:
+                    none[quote] = begin
+                else:
+                    begin = other + 1
+        return n
+
+    while (begin := page.find("<", at)) >= 0:
+        mark = page[begin + 1 : begin + 2]
+        name = _NAME.match(page, begin + 2 if mark == "/" else begin + 1)
+        if not name and mark not in ("!", "?"):
+            at = begin + 1
+            continue
+        if begin > shown:
+            add("#text", text=page[shown:begin])
+        if not name:
+            opening, closing = next(((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, begin)), ("<", ">"))
+            stop = page.find(closing, begin + len(opening))
+            stop = n if stop < 0 else stop
+            if opening == "<![CDATA[":
+                add("#text", text=html.escape(page[begin + 9 : stop]))
+            at = shown = min(stop + len(closing), n)
+            continue
+        tag, stop = name[0].lower(), tag_end(name.end())
+        attributes = page[name.end() : stop]
+        # A tag that nothing ends is dropped with all that it swallows, as in browsers.
+        at = shown = min(stop + 1, n)
+        if stop == n:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                add("#text", text=html.escape(m[0][9:].removesuffix("]]>")))
-        elif m[1]:
-            for depth in range(len(open_) - 1, 0, -1):
+        if mark == "/":
+            for depth in range(len(open_) - 1, 0, -1) if counts.get(tag) else ():
                 if tags[open_[depth]] == tag:
-                    del open_[depth:]
+                    close(depth)
                     break
                 if tag not in BLOCKS and tags[open_[depth]] in BLOCKS - {"p"}:
                     break
         elif tag != "html":
             closes, stops = CLOSES.get(tag, ((), ()))
-            if closes:
+            if any(counts.get(c) for c in closes):
                 for depth in range(len(open_) - 1, 0, -1):
-                    name = tags[open_[depth]]
-                    if name in stops:
+                    own = tags[open_[depth]]
+                    if own in stops:
                         break
-                    if name in closes:
-                        del open_[depth:]
-            node = add(tag, " ".join(filter(None, (x for g in _NAMES.findall(m[3]) for x in g))).lower() if "=" in m[3] else "")
-            if tag in RAW and not m[3].endswith("/"):
+                    if own in closes:
+                        close(depth)
+            node = add(tag, " ".join(filter(None, (x for g in _NAMES.findall(attributes) for x in g))).lower() if "=" in attributes else "")
+            if tag in RAW and not attributes.endswith("/"):
                 lower = page.lower() if lower is None else lower
                 stop = lower.find(f"</{tag}", at)
-                stop = len(page) if stop < 0 else stop
+                stop = n if stop < 0 else stop
                 if tag not in HIDDEN:
                     add("#text", text=page[at:stop])
                 end = page.find(">", stop)
-                at = len(page) if end < 0 else end + 1
-            elif tag not in VOID and not m[3].endswith("/"):
+                at = shown = n if end < 0 else end + 1
+            elif tag not in VOID and not attributes.endswith("/") and len(open_) < DEEPEST:
                 open_.append(node)
+                counts[tag] = counts.get(tag, 0) + 1
+    if shown < n:
+        add("#text", text=page[shown:])
     return tags, parents, names, texts
 
 
@@ -151,7 +189,8 @@ class Forest:
                 if link[p] or inside_link[p]:
                     inside_link[i] = True
         self.depth, self.hidden = np.array(depth), hidden
-        self.levels = [np.flatnonzero(self.depth == d) for d in range(self.depth.max(initial=0) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, self.depth.max(initial=0) + 1)))
         size = np.array([len(x.strip()) for x in self.texts], float) * ~hidden
         stops = np.array([x.count(".") + x.count(",") for x in self.texts], float) * ~hidden
         linked = size * inside_link
@@ -249,7 +288,8 @@ def own_labels(f: Forest) -> np.ndarray:
 def seed_pages() -> list[tuple[str, str]]:
     """Generated labelled pages: (html, tag that is its content, written x-main). All other text is none."""
     words = "the of and plain long text that runs on with commas, stops and so forth. It says what it says."
-    para = "".join(f'<p>{words} {words} part {i}, <a href="/p{i}">with a link</a> <b>in it</b>.</p>' for i in range(4))
+    rich = lambda k: "".join(f'<p>{words} {words} part {i}, <a href="/p{i}">with a link</a> <b>in it</b>.</p>' for i in range(k))
+    plain = lambda k: "".join(f"<p>{words if i % 3 else 'Briefly said.'} Part {i}.</p>" for i in range(k))
     extras = {
         "nav": '<nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>',
         "menu": '<div class="menu"><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>',
@@ -267,6 +307,9 @@ def seed_pages() -> list[tuple[str, str]]:
         "share": '<div class="share social"><a href="/x">Share</a></div>',
         "related": f'<div class="related"><h3>Related</h3><p><a href="/y">{words}</a></p></div>',
         "footer": f"<footer><p>&copy; {words}</p></footer>",
+        "thread": '<div class="comments">' + f'<div class="comment"><p>{words}</p></div>' * 12 + "</div>",
+        "links": '<div class="sidebar"><ul>' + '<li><a href="/c">Read on</a></li>' * 15 + "</ul></div>",
+        "notes": f"<aside>{'<p>' + words + '</p>'}{'<p>Briefly said.</p>' * 5}</aside>",
     }
     shells = [
         lambda b: f"<x-main><article><h1>Title of it</h1>{b}</article></x-main>",
@@ -287,6 +330,8 @@ def seed_pages() -> list[tuple[str, str]]:
             before = "".join(extras[kinds[(i + j + k) % len(kinds)]] for k in (0, 4))
             after = "".join(extras[kinds[(i + 2 * j + k) % len(kinds)]] for k in (2, 7))
             inside = extras[kinds[(i * 3 + j) % len(kinds)]] if j % 3 == 0 else ""
+            # From one paragraph to many, with and without links in them.
+            para = (plain if (i + j // 4) % 2 else rich)((4, 1, 12, 40)[(i + j) % 4])
             main = shell(para + (f"<x-not>{inside}</x-not>" if inside else ""))
             body = f"<div class='page'>{before}{main}{after}</div>" if j % 2 else f"{before}{main}{after}"
             out.append(f"<html><head><title>t</title></head><body>{body}</body></html>")
@@ -312,7 +357,9 @@ def seed_labels(pages: list[str]) -> tuple[list[str], list[np.ndarray]]:
 def train(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Model:
     """The model of a table: generated labelled pages and at most `most` of its own that hold one article element."""
     once = (F.size(F.split(F.lower(F.col(f"`{column}`")), "<article")) == 2) & (F.length(f"`{column}`") < 20000)
-    rows = pages.where(once).select(F.col(f"`{column}`")).limit(most).collect()
+    # The least by a hash of the page: the same ones however the table is cut into files.
+    chosen = pages.where(once).select(F.col(f"`{column}`").alias("page")).orderBy(F.xxhash64("page"), "page").limit(most)
+    rows = chosen.collect()
     plain, labels = seed_labels([p for p, _ in seed_pages()])
     f = Forest(plain + [r[0] for r in rows])
     given = np.concatenate(labels)
@@ -346,7 +393,8 @@ def texts(f: Forest, content: np.ndarray) -> list[str]:
 
 
 def extract(pages: DataFrame, model: Model, column: str = "html", into: str = "text") -> DataFrame:
-    """pages with the main text of the column, all other columns kept."""
+    """pages with the main text of the column, all other columns kept; a column named like the added one is replaced."""
+    pages = without(pages, into) if into != column else pages
     at = pages.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

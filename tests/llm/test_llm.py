@@ -399,10 +399,45 @@ def test_token_files(docs, library, spark, tmp_path):
         start += len(ids)
     column = pq.ParquetFile(next((tmp_path / "t").glob("part-*"))).metadata.row_group(0).column(4)
     assert column.has_column_index and any("DICTIONARY" in e for e in column.encodings)
+    whole = [i for _, t, *_ in DOCS for i in library.encode(t or "", add_special_tokens=False).ids + [1]]
+    for first, last in ((0, start), (0, 1), (start - 1, start), (start // 3, start // 3 + 500), (5, 5), (start, start + 9), (100, 40000)):
+        got = tokenfile.tokens_between(spark, str(tmp_path / "t"), first, last).orderBy("start").collect()
+        assert [i for r in got for i in r.ids] == whole[first:last] and all(r.start >= first for r in got)
+    assert [(r.start, r.n_tokens) for r in tokenfile.lengths(spark, str(tmp_path / "t")).orderBy("doc_id", "start").collect()][-1][0] < start
+    assert {r.doc_id for r in tokenfile.documents_between(spark, str(tmp_path / "t"), 5, 9).collect()} == {5, 6, 7, 8, 9}
     tokenfile.write(docs.limit(0), str(tmp_path / "e"))
     assert tokenfile.read_back(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_are_read_selectively(spark, tmp_path, monkeypatch):
+    """A range of tokens touches few pages and row groups, and plans without ids don't read them."""
+    monkeypatch.setitem(tokenfile.LAYOUT, "parquet.block.size", str(256 << 10))
+    monkeypatch.setitem(tokenfile.LAYOUT, "parquet.page.row.count.limit", "100")
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, text(rng, 120)) for i in range(6000)], "doc_id long, text string")
+    folder = str(tmp_path / "t")
+    tokenfile.write(docs, folder)
+    files = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("part-*")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert max(g.total_byte_size for g in groups) < 4 << 20 and len(groups) > len(files) and all(g.column(2).has_offset_index for g in groups)
+    total = tokenfile.lengths(spark, folder).agg(F.sum("n_tokens")).first()[0]
+    some = tokenfile.tokens_between(spark, folder, total // 2, total // 2 + 1000)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "start_in_part" in plan.split("PushedFilters")[1] and sum(len(r.ids) for r in some.collect()) == 1000
+    from_, to = (r for r in spark.read.parquet(folder).groupBy("part").agg(F.min("start_in_part").alias("a"), F.max("start_in_part").alias("b")).orderBy("part").limit(2).collect())
+    # Row groups whose bounds meet the range, by Parquet's own statistics: a small part of them.
+    met = [g for g in groups if g.column(1).statistics.min == from_.part and g.column(2).statistics.min < 1000]
+    assert 0 < len(met) <= 2 and len(groups) >= 8
+    assert "ids" not in tokenfile.lengths(spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_files_odd_keys(spark, tmp_path):
+    rows = [(None, "b"), (None, "a"), (3, "x y"), (3, None), (1, "z" * 50000)]
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"ids": F.lit(1), "part": F.lit("p")}), str(tmp_path / "t"))
+    got = tokenfile.read_back(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, 1, 3, 3] and [r.start for r in got][1:] == [sum(r.n_tokens for r in got[:i]) for i in range(1, 5)]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
@@ -555,6 +590,43 @@ def test_pages(spark):
     assert pages.extract(df.limit(0), model).count() == 0
 
 
+def test_pages_parse_in_linear_time():
+    """A megabyte of what would make a matcher go back, in seconds; and what comes of unclosed markup."""
+    import time
+
+    n = 1 << 20
+    for unit in ("<a ", "<", "<!", "</", "<a \"", "<a '", "<b>", "<div></p>", "<!--", "<p>x", "<script>", "<li><ul>", "<a b='>", "</span>"):
+        began = time.time()
+        pages.parse(unit * (n // len(unit)))
+        assert time.time() - began < 10, unit
+    shown = lambda p: [t for g, t in zip(*(pages.parse(p)[i] for i in (0, 3))) if g == "#text"]
+    assert shown("a < b <b>c</b> d") == ["a < b ", "c", " d"] and shown("x <a href='>' y>z") == ["x ", "z"]
+    assert shown("x <b y") == ["x "] and shown("x <!-- y") == ["x "] and shown('q <a title="w> e') == ["q ", " e"] and shown("1 <![CDATA[2 & 3]]> 4") == ["1 ", "2 &amp; 3", " 4"]
+
+
+def test_pages_deep_and_long(spark):
+    deep = "<b>" * 20000 + "x" + "</b>" * 20000
+    long = "<article><h1>T</h1>" + "<p>And so it goes on, and on, and on. It does.</p>" * 5000 + "</article>"
+    df = spark.createDataFrame([(1, "u", deep), (2, "u", long), (3, "u", "<a " * 100000)], "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    got = {r.page_id: r.text for r in pages.extract(df, pages.train(df)).collect()}
+    assert got[2].count("\n") == 5000 and got[3] == ""
+
+
+def test_pages_of_held_out_shells_and_without_article():
+    """Shells that no training page has, two of them without an article or main element."""
+    made = [p for p, _ in pages.seed_pages()]
+    per = len(made) // 11
+    for shell in (1, 3, 6, 8):
+        mine = list(range(shell * per, shell * per + per))
+        plain, labels = pages.seed_labels(made)
+        rest = [i for i in range(len(plain)) if i not in set(mine)]
+        model = pages.Model().train(pages.Forest([plain[i] for i in rest]), np.concatenate([labels[i] for i in rest]), rounds=60)
+        f = pages.Forest([plain[i] for i in mine])
+        shown = np.array([t == "#text" for t in f.tags]) & ~f.hidden
+        right = (model.messages(f)[0][:, 1] > 0.5) == np.concatenate([labels[i] for i in mine])
+        assert right[shown].mean() > 0.9, shell
+
+
 def test_pages_held_out_accuracy():
     plain, labels = pages.seed_labels([p for p, _ in pages.seed_pages()])
     cut = [i for i in range(len(plain)) if i % 5 == 0]
