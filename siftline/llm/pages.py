@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, read, without
 
-TRAIN_PAGES, SEEDED, ROUNDS, RATE = 150, 1, 80, 0.5
+TRAIN_PAGES, SEEDED, ROUNDS, RATE = 150, 1, 120, 0.5
 #: Texts below these never show. Fixed values.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "textarea", "select", "option", "button"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
@@ -192,7 +192,7 @@ class Forest:
         order = np.argsort(self.depth, kind="stable")
         self.levels = np.split(order, np.searchsorted(self.depth[order], np.arange(1, self.depth.max(initial=0) + 1)))
         size = np.array([len(x.strip()) for x in self.texts], float) * ~hidden
-        stops = np.array([x.count(".") + x.count(",") for x in self.texts], float) * ~hidden
+        stops = np.array([x.count(".") + x.count(",") + x.count("!") + x.count("?") for x in self.texts], float) * ~hidden
         linked = size * inside_link
         for level in self.levels[:0:-1]:
             for total in (size, stops, linked):
