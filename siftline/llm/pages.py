@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_map, read, without
 
-TRAIN_PAGES, SEEDED, ROUNDS, RATE = 150, 1, 120, 0.5
+TRAIN_PAGES, SEEDED, ROUNDS, RATE = 300, 1, 120, 0.5
 #: Texts below these never show. Fixed values.
 HIDDEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "textarea", "select", "option", "button"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
@@ -360,7 +360,8 @@ def train(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Mo
     # The least by a hash of the page: the same ones however the table is cut into files.
     chosen = pages.where(once).select(F.col(f"`{column}`").alias("page")).orderBy(F.xxhash64("page"), "page").limit(most)
     rows = chosen.collect()
-    plain, labels = seed_labels([p for p, _ in seed_pages()])
+    # Every second generated page, so that they don't outweigh the table's own.
+    plain, labels = seed_labels([p for p, _ in seed_pages()][::2])
     f = Forest(plain + [r[0] for r in rows])
     given = np.concatenate(labels)
     own = own_labels(f)
