@@ -357,8 +357,11 @@ def seed_labels(pages: list[str]) -> tuple[list[str], list[np.ndarray]]:
 def train(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Model:
     """The model of a table: generated labelled pages and at most `most` of its own that hold one article element."""
     once = (F.size(F.split(F.lower(F.col(f"`{column}`")), "<article")) == 2) & (F.length(f"`{column}`") < 20000)
-    # The least by a hash of the page: the same ones however the table is cut into files.
-    chosen = pages.where(once).select(F.col(f"`{column}`").alias("page")).orderBy(F.xxhash64("page"), "page").limit(most)
+    # By a hash of the page: the same ones however the table is cut into files. Of some four times as many candidates the
+    # least are taken, so that what comes to the driver doesn't grow with the table.
+    share = max(1, pages.count() // (4 * most))
+    some = pages.where(F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(share)) == 0).where(once).select(F.col(f"`{column}`").alias("page"))
+    chosen = some.orderBy(F.xxhash64("page"), "page").limit(most)
     rows = chosen.collect()
     # Every second generated page, so that they don't outweigh the table's own.
     plain, labels = seed_labels([p for p, _ in seed_pages()][::2])
