@@ -130,13 +130,6 @@ def semantic_spans(spark, sf_dir):
     return _listed(spark, sf_dir, "events", SEMANTIC, "repo:readme", R.SEMANTIC)
 
 
-@_query(f"SELECT * FROM ({_sql(SEMANTIC, 'events')}) WHERE false")
-def semantic_trusted(spark, sf_dir):
-    """Trusted origins have no heuristic findings: no rows."""
-    found = scan.scan(_texts(spark, sf_dir, "events", SEMANTIC), "text", "prompt").where(F.size("findings") < 0)
-    return found.select("id", "text")
-
-
 @_query(_spans_sql(COMMAND, "events", R.COMMANDS))
 def command_spans(spark, sf_dir):
     found = scan.scan_command(_texts(spark, sf_dir, "events", COMMAND), ["id"])
@@ -209,11 +202,9 @@ def policy_classes(spark, sf_dir):
     texts = [_texts(spark, sf_dir, *x) for x in (("orders", SECRET), ("customer", PII), ("events", INJECTION))]
     found = scan.listed(scan.scan(texts[0].unionByName(texts[1]).unionByName(texts[2])), ["id"])
     counted = found.groupBy("type", "recommended_action").agg(F.count("*").alias("c"))
-    out = None
-    for mode in policy.PRESETS:
-        one = policy.classify(counted, policy.preset(mode)).groupBy("type", "class").agg(F.sum("c").alias("n")).select(F.lit(mode).alias("mode"), "type", "class", "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    # One pass over the counts for all modes.
+    ways = F.array(*[F.struct(F.lit(m).alias("mode"), policy.action(policy.preset(m), F.col("type"), F.col("recommended_action")).alias("action")) for m in policy.PRESETS])
+    return policy.classed(counted.select("type", "c", F.inline(ways))).groupBy("mode", "type", "class").agg(F.sum("c").alias("n"))
 
 
 @_query(f"""SELECT id, regexp_replace(regexp_replace(regexp_replace(text, 'user[0-9]+@example.com', '[EMAIL_1]'), '\\+91 98765 [0-9]+', '[PHONE_1]'), 'account_id: ACCT-[0-9]+', '[ACCOUNT_1]') AS redacted_text,

@@ -1,21 +1,24 @@
 """The event log: sanitised metadata, canonical JSON, SHA-256 chains, verification, export.
 
-An event's hash covers its fields and the hash before it, so that appending is a fold in order of sequence; it runs as one
-sorted group per chain, in parallel over chains. Verifying needs no fold: every row is checked against its own
-neighbour and its own recomputed hash, and the first failure is an aggregate.
+An event's hash covers its fields and the hash before it, so that appending is a fold in order of sequence: chains run in
+parallel, each in order, and a task holds the last hash alone. Verifying needs no fold: every row is checked against its
+neighbour and its own recomputed hash, by runs of the sequence, and the first failure is an aggregate.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import clip, utc_string
+from ..workers import ship
 
 # The first link, and metadata keys whose values are never stored.
 GENESIS = "0" * 64
@@ -53,9 +56,27 @@ def sanitized_map(metadata: Column) -> Column:
     return F.transform_values(metadata, lambda k, v: F.when(F.lower(k).isin(FORBIDDEN), "[REDACTED]").otherwise(clip(v)))
 
 
+#: Characters that JSON writes as two.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _escaped(c: Column) -> Column:
+    """One character as JSON of ASCII writes it."""
+    code = F.ascii(c)
+    unit = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
+    rest = code - 0x10000
+    out = F.when(code > 0xFFFF, F.concat(unit(F.lit(0xD800) + F.shiftright(rest, 10)), unit(F.lit(0xDC00) + rest.bitwiseAND(F.lit(0x3FF))))).otherwise(unit(code))
+    out = F.when((code >= 0x20) & (code < 0x80), c).otherwise(out)
+    for plain, short in _SHORT.items():
+        out = F.when(c == F.lit(plain), F.lit(short)).otherwise(out)
+    return out
+
+
 def _quoted(c: Column) -> Column:
-    """A JSON string literal of ASCII text."""
-    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A JSON string literal in ASCII. Only texts that need an escape are taken apart."""
+    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
+    body = F.when(c.rlike(r'[^\x20-\x7f]|["\\]'), F.array_join(F.transform(chars, _escaped), "")).otherwise(c)
+    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
 def event_hash(event_id: Column, session_id: Column, timestamp: Column, event: Column, metadata: Column, previous: Column) -> Column:
@@ -73,48 +94,99 @@ def append(events: DataFrame, chain: str, seq: str, head: str = GENESIS, first:
     events: chain, seq, session_id, timestamp, event, metadata (JSON). A chain is as long as its longest session's log.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, previous, out = rows.sort_values(seq), head, []
-        for n, r in enumerate(rows.itertuples(index=False), first):
-            d = r._asdict()
-            body = {k: d[k] for k in ("session_id", "timestamp", "event")} | {"event_id": f"evt_{n:06d}", "previous_hash": previous, "metadata": json.loads(d["metadata"])}
-            digest = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
-            out.append((d[chain], n, body["event_id"], d["session_id"], d["timestamp"], d["event"], d["metadata"], previous, digest))
-            previous = digest
-        return pd.DataFrame(out, columns=[chain, "seq", *[c.split()[0] for c in CHAIN.split(", ")]])
+    names = [c.split()[0] for c in CHAIN.split(", ")]
+    ship(events.sparkSession)
+    rows = events.select(F.col(chain).alias("c"), F.col(seq).alias("s"), "session_id", "timestamp", "event", sanitized("metadata").alias("metadata"))
+    kind = events.schema[chain].dataType
 
-    kind = events.schema[chain].dataType.simpleString()
-    clean = events.withColumn("metadata", sanitized("metadata")).withColumnRenamed(seq, "seq_in") if seq == "seq" else events.withColumn("metadata", sanitized("metadata"))
-    seq = "seq_in" if seq == "seq" else seq
-    return clean.groupBy(chain).applyInPandas(fold, f"{chain} {kind}, seq long, {CHAIN}")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, previous, begun = None, 0, head, False
+        for batch in batches:
+            out = []
+            for d in batch.to_pylist():
+                if not begun or d["c"] != at:
+                    at, n, previous, begun = d["c"], first - 1, head, True
+                n += 1
+                body = {k: d[k] for k in ("session_id", "timestamp", "event")} | {"event_id": f"evt_{n:06d}", "previous_hash": previous, "metadata": json.loads(d["metadata"])}
+                digest = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+                out.append((n, body["event_id"], d["session_id"], d["timestamp"], d["event"], d["metadata"], previous, digest))
+                previous = digest
+            columns = [pa.array([r[i] for r in out], pa.int64() if i == 0 else pa.string()) for i in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["c", "seq", *names])
 
+    # A chain is in one partition and in order there, however long; only its last hash is held.
+    dealt = rows.repartition("c").sortWithinPartitions("c", "s")
+    return dealt.mapInArrow(fold, f"c {kind.simpleString()}, seq long, {CHAIN}").withColumnRenamed("c", chain)
 
-def verify(log: DataFrame, chain: list[str] | None = None, seq: str = "seq") -> DataFrame:
+
+#: Events of a run: what one task looks at in order when a chain is verified.
+RUN = 100_000
+
+
+def verify(log: DataFrame, chain: list[str] | None = None, seq: str = "seq", heads: DataFrame | None = None) -> DataFrame:
     """Per chain: n_events, ok, message and head (the last good hash before a failure).
 
-    Links are checked before hashes; a cut-off tail can't be seen.
+    Links are checked before hashes. A cut-off tail can only be seen against heads: rows of the chain's columns and
+    audit_head, the last hash that a session stored. A chain is cut into runs of RUN numbers of its sequence; the hash
+    before a run's first event comes from the last row of the run before.
     """
     keys = chain or []
-    over = Window.partitionBy(*keys).orderBy(seq)
-    before = F.coalesce(F.lag("hash").over(over), F.lit(GENESIS))
     cols = [F.col(c) for c in ("event_id", "session_id", "timestamp", "event")]
-    rows = log.withColumn("_before", before)
+    rows = log.withColumn("_run", F.floor(F.col(seq) / RUN))
+    over = Window.partitionBy(*keys, "_run").orderBy(seq)
+    ends = rows.groupBy(*keys, "_run").agg(F.max_by("hash", seq).alias("_last"))
+    # One row per run goes through this window.
+    ends = ends.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run"))).where("_last IS NOT NULL")
+    rows = rows.withColumn("_before", F.lag("hash").over(over))
+    linked = rows.join(ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_run").alias("_of"), "_last"),
+                       [(F.col("_run") == F.col("_of")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]], "left")
+    rows = linked.withColumn("_before", F.coalesce("_before", "_last", F.lit(GENESIS)))
     rows = rows.withColumn("_own", event_hash(*cols, F.col("metadata"), F.col("previous_hash")))
     bad = F.when(F.col("previous_hash") != F.col("_before"), "invalid previous_hash").when(F.col("hash") != F.col("_own"), "invalid hash")
     rows = rows.withColumn("_bad", bad)
     first = F.min(F.when(F.col("_bad").isNotNull(), F.struct(F.col(seq), F.concat(F.lit("Event "), "event_id", F.lit(" has "), "_bad").alias("message"), F.col("_before").alias("head"))))
     found = rows.groupBy(*keys).agg(F.count("*").alias("n_events"), first.alias("_f"), F.max_by("hash", seq).alias("_head"))
-    return found.select(
+    found = found.select(
         *keys, "n_events", F.col("_f").isNull().alias("ok"),
         F.coalesce("_f.message", F.concat(F.col("n_events").cast("string"), F.lit(" audit events verified"))).alias("message"),
         F.coalesce("_f.head", "_head", F.lit(GENESIS)).alias("head"),
     )
+    if heads is None:
+        return found
+    known = heads.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "audit_head")
+    met = found.join(known, F.lit(True) if not keys else [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    cut = F.col("ok") & F.col("audit_head").isNotNull() & (F.col("audit_head") != F.col("head"))
+    return met.select(*keys, "n_events", (F.col("ok") & ~cut).alias("ok"), F.when(cut, "Chain ends before the session's last event").otherwise(F.col("message")).alias("message"), "head")
+
+
+#: Metadata fields of each kind of event, in the order of a session's log. Fixed values.
+EVENTS = {
+    "session_started": ["tool", "mode", "policy_version"],
+    "wrap_invocation": ["adapter", "mode", "execute", "prompt_tokens"],
+    "finding": ["finding_type", "severity", "rule", "origin", "path", "line", "recommended_action"],
+    "redaction": ["placeholder", "finding_type", "rule", "origin", "path", "line"],
+    "egress_observation": ["method", "new_connections", "samples"],
+    "policy_decision": ["status", "mode", "egress_method", "files_scanned", "prompt_tokens_scanned"],
+    "model_event": ["backend_name", "device_name", "model_role", "status", "latency_ms"],
+    "command_event": ["command", "action", "rule", "reason"],
+    "session_finished": ["status", "findings", "decisions", "redactions"],
+}
+
+
+def events_of(rows: DataFrame, event: str, session: Column, ts: Column, order: Column | None = None) -> DataFrame:
+    """Rows of the event log (session_id, timestamp, event, metadata, ord) of one kind; fields that rows lack are null.
+
+    ord sorts a session's log: kinds in the order of EVENTS, rows of a kind by `order`. No span or matched text is taken.
+    """
+    have = {c.lower() for c in rows.columns}
+    body = F.struct(*[(F.col(f) if f in have else F.lit(None).cast("string")).alias(f) for f in EVENTS[event]])
+    place = F.struct(F.lit(list(EVENTS).index(event)).alias("kind"), (F.lit(0) if order is None else order).cast("long").alias("n"))
+    return rows.select(session.alias("session_id"), utc_string(ts).alias("timestamp"), F.lit(event).alias("event"), F.to_json(body, {"ignoreNullFields": "false"}).alias("metadata"), place.alias("ord"))
 
 
 def finding_events(found: DataFrame, session: Column, ts: Column) -> DataFrame:
     """Rows of the event log for findings: no span, no matched text."""
-    body = F.to_json(F.struct(F.col("type").alias("finding_type"), "severity", "rule", "origin", "path", "line", "recommended_action"), {"ignoreNullFields": "false"})
-    return found.select(session.alias("session_id"), utc_string(ts).alias("timestamp"), F.lit("finding").alias("event"), body.alias("metadata"))
+    return events_of(found.withColumn("finding_type", F.col("type")), "finding", session, ts).drop("ord")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

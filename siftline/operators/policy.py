@@ -110,8 +110,25 @@ def action(policy: Policy, kind: Column, recommended: Column) -> Column:
     return out.otherwise(recommended)
 
 
-def classify(found: DataFrame, policy: Policy) -> DataFrame:
-    """Adds action and class: blocked, redactable, warned, or none."""
+def classed(rows: DataFrame) -> DataFrame:
+    """Adds class, by the column action: blocked, redactable, warned, or none."""
     a = F.col("action")
-    kind = F.when(a.isin(BLOCK), "blocked").when(a.isin(REDACT), "redactable").when(a.isin(WARN), "warned").otherwise("none")
-    return found.withColumn("action", action(policy, F.col("type"), F.col("recommended_action"))).withColumn("class", kind)
+    return rows.withColumn("class", F.when(a.isin(BLOCK), "blocked").when(a.isin(REDACT), "redactable").when(a.isin(WARN), "warned").otherwise("none"))
+
+
+def classify(found: DataFrame, policy: Policy) -> DataFrame:
+    """Adds the policy's action, and class."""
+    return classed(found.withColumn("action", action(policy, F.col("type"), F.col("recommended_action"))))
+
+
+def verdict(policy: Policy, blocking: Column, findings: Column) -> Column:
+    """blocked, degraded (observed only) or completed, from counts."""
+    if policy.mode == "observe-only":
+        return F.when(findings > 0, "degraded").otherwise("completed")
+    return F.when(blocking > 0, "blocked").otherwise("completed")
+
+
+def unsanitized(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: does a classified finding that could be redacted lie in a file, where nothing redacts it?"""
+    inside = (F.col("class") == "redactable") & ~F.col("origin").isin("prompt", "output")
+    return found.groupBy(*keys).agg(F.coalesce(F.bool_or(inside), F.lit(False)).alias("repo_unsanitized"))

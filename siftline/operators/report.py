@@ -108,3 +108,22 @@ def rate(timings: DataFrame, seconds: str, payload_bytes: int) -> DataFrame:
         F.coalesce(F.percentile(s, 0.5) * 1000, F.lit(0.0)).alias("p50_ms"), F.coalesce(F.percentile(s, 0.95) * 1000, F.lit(0.0)).alias("p95_ms"),
         F.coalesce(F.lit(payload_bytes / 1e6) * F.count("*") / F.nullif(F.sum(s), F.lit(0.0)), F.lit(0.0)).alias("mb_per_second"),
     )
+
+
+def plain(row: DataFrame) -> DataFrame:
+    """A report as rows of (field, value), in the order of its columns; lists are one row per entry."""
+    lists = {f.name for f in row.schema.fields if f.dataType.typeName() == "array"}
+    cells = [F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.cast("string").alias("value"))) if c in lists
+             else F.array(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c in row.columns]
+    return row.select(F.inline(F.concat(*cells)))
+
+
+def as_json(row: DataFrame) -> DataFrame:
+    """A report as one JSON text per row, null fields included."""
+    return row.select(F.to_json(F.struct(*row.columns), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Distinct rows by keys, the first by order kept whole: an aggregation, not a sort."""
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, order).alias("_row")).select("_row.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -77,23 +77,34 @@ def _attributes(rules: Sequence[R.Rule]) -> Column:
     return F.array(*[F.struct(*[F.lit(getattr(r, n)).cast("double" if n == "confidence" else "string").alias(n) for n in names]) for r in rules])
 
 
+#: The column that `scan` adds beside `findings`: the origin and path under which a text was scanned.
+SOURCE = "finding_source"
+
+
 def scan(df: DataFrame, text: str = "text", origin: Column | str = "text", path: Column | None = None, rules: Sequence[R.Rule] = R.TEXT_RULES) -> DataFrame:
-    """df with a column `findings`. origin: a column, or one name for all rows."""
+    """df with the columns `findings` and `finding_source` (origin, path). origin: a column, or one name for all rows.
+
+    Columns of df named origin or path stay as they are, and count only where they are given.
+    """
     origin = F.lit(origin) if isinstance(origin, str) else origin
     path = F.lit(None).cast("string") if path is None else path
-    df = df.withColumns({"origin": origin, "path": path, "_low": F.lower(F.col(text)), "_odd": F.col(text).rlike(R.FOLDING)})
-    found = findings(F.col(text), F.col("origin"), F.col("path"), rules, F.col("_low"), F.col("_odd"))
-    return df.withColumn("findings", found).drop("_low", "_odd")
+    free = lambda name: name if name not in df.columns else free(name + "_")
+    low, odd = free("_low"), free("_odd")
+    df = df.withColumns({SOURCE: F.struct(origin.alias("origin"), path.alias("path")), low: F.lower(F.col(text)), odd: F.col(text).rlike(R.FOLDING)})
+    found = findings(F.col(text), F.col(f"{SOURCE}.origin"), F.col(f"{SOURCE}.path"), rules, F.col(low), F.col(odd))
+    return df.withColumn("findings", found).drop(low, odd)
 
 
 def listed(scanned: DataFrame, keys: Sequence[str], text: str = "text", rules: Sequence[R.Rule] = R.TEXT_RULES, line: Column | None = None) -> DataFrame:
     """One row per finding, with its span and text: internal, as `matched` holds what must not be shown."""
     # Outer, as the filter that is else put before an explode would run all rules twice.
-    rows = scanned.select(*keys, "origin", "path", text, F.posexplode_outer("findings").alias("ord", "f")).where("f IS NOT NULL")
+    rows = scanned.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(f"{SOURCE}.origin").alias("origin"), F.col(f"{SOURCE}.path").alias("path"),
+                          F.col(text).alias("_text"), F.posexplode_outer("findings").alias("ord", "f")).where("f IS NOT NULL")
+    named, text = [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "_text"
     rows = rows.withColumn("_r", F.get(_attributes(rules), F.col("f.rule")))
     noted = F.when((F.col("_r.type") == "secret") & F.col("path").rlike(R.SENSITIVE_PATH), "sensitive_path")
     return rows.select(
-        *keys, "ord", F.col("_r.type").alias("type"), F.col("_r.severity").alias("severity"), F.col("_r.scanner").alias("scanner"), "origin", "path",
+        *named, "ord", F.col("_r.type").alias("type"), F.col("_r.severity").alias("severity"), F.col("_r.scanner").alias("scanner"), "origin", "path",
         (T.line_at(F.col(text), F.col("f.start")) if line is None else line).alias("line"), F.col("_r.name").alias("rule"), F.col("_r.confidence").alias("confidence"),
         F.col("_r.action").alias("recommended_action"), F.coalesce(F.col("_r.details"), noted).alias("details"),
         F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.substr(F.col(text), F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("matched"),
@@ -114,3 +125,14 @@ def shown(found: DataFrame) -> DataFrame:
     """Lines for people: severity, type, rule and place of a finding; and the same as JSON."""
     place = F.concat_ws(":", F.coalesce(F.when(F.col("path") != "", F.col("path")), F.col("origin")), F.coalesce(F.col("line").cast("string"), F.lit("-")))
     return found.select(F.concat_ws(" ", F.upper("severity"), "type", "rule", place).alias("plain"), F.to_json(F.struct(*PUBLIC)).alias("json"))
+
+
+def ordered(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Findings with their number in the document, as reports list them: by start (none last), end, and rule order."""
+    place = F.struct(F.col("start").isNull(), F.coalesce("start", F.lit(0)), F.coalesce("end", F.lit(0)), "ord")
+    return found.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(place)))
+
+
+def with_lines(found: DataFrame, text: Column) -> DataFrame:
+    """Findings with a line where they had none and have a start."""
+    return found.withColumn("line", F.coalesce("line", F.when(F.col("start").isNotNull(), T.line_at(text, F.col("start")))))

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.text import n_tokens
 from ..operators.paths import denied
+from ..workers import ship
 
 # Folders that are never entered, and limits.
 PRUNED = {".git", ".siftline", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache"}
@@ -20,39 +21,51 @@ MAX_FILES, MAX_BYTES = 500, 1_000_000
 
 
 class _Slice(InputPartition):
-    def __init__(self, files: list[tuple[str, str, int]]):
-        self.files = files
+    """Some files, or one folder with all below it."""
+
+    def __init__(self, files: list[str], folder: str | None = None):
+        self.files, self.folder = files, folder
 
 
 class _Reader(DataSourceReader):
+    #: Levels of folders that the driver lists; what lies deeper is walked by the tasks.
+    LEVELS = 2
+
     def __init__(self, root: str, most: int, per: int):
         self.root, self.most, self.per = root, most, per
 
     def partitions(self) -> list[_Slice]:
-        found = []
         if os.path.isfile(self.root):
-            found.append((self.root, os.path.basename(self.root)))
-        for top, folders, names in os.walk(self.root):
-            folders[:] = sorted(f for f in folders if f not in PRUNED)
-            found += [(p := os.path.join(top, n), os.path.relpath(p, self.root)) for n in names]
-        files = []
-        for full, name in sorted(found, key=lambda x: x[1]):
-            try:
-                files.append((full, name.replace(os.sep, "/"), os.path.getsize(full)))
-            except OSError:
-                continue
-        return [_Slice(files[i : i + self.per]) for i in range(0, len(files), self.per)] or [_Slice([])]
+            return [_Slice([self.root])]
+        slices, level = [], [self.root]
+        for depth in range(self.LEVELS):
+            below = []
+            for folder in level:
+                with os.scandir(folder) as entries:
+                    entries = sorted(entries, key=lambda e: e.name)
+                files = [e.path for e in entries if not e.is_dir(follow_symlinks=False)]
+                slices += [_Slice(files[i : i + self.per]) for i in range(0, len(files), self.per)]
+                below += [e.path for e in entries if e.is_dir(follow_symlinks=False) and e.name not in PRUNED]
+            level = below
+        return slices + [_Slice([], folder) for folder in level] or [_Slice([])]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        for full, name, size in partition.files:
+        yield from map(self._row, filter(os.path.isfile, partition.files))
+        if partition.folder:
+            for top, folders, names in os.walk(partition.folder):
+                folders[:] = sorted(f for f in folders if f not in PRUNED)
+                yield from map(self._row, filter(os.path.isfile, (os.path.join(top, n) for n in sorted(names))))
+
+    def _row(self, full: str) -> tuple:
+        name = os.path.basename(full) if full == self.root else os.path.relpath(full, self.root).replace(os.sep, "/")
+        try:
+            size = os.path.getsize(full)
             if size > self.most:
-                yield name, size, None
-                continue
-            try:
-                with open(full, "rb") as f:
-                    yield name, size, f.read()
-            except OSError:
-                continue
+                return name, size, None
+            with open(full, "rb") as f:
+                return name, size, f.read()
+        except OSError:  # gone or not readable: listed without content
+            return name, None, None
 
 
 class TreeSource(DataSource):
@@ -86,12 +99,14 @@ def manifest(files: DataFrame, deny: list[str] | None = None, max_files: int = M
 
     At most max_files files are scanned, in path order; others don't count against it.
     """
+    ship(files.sparkSession)
     kind = F.when(denied(F.col("path"), deny), "denied").when(F.col("size") > max_bytes, "skipped_large").otherwise("scanned")
     df = files.withColumn("classification", kind)
-    # The least max_files paths, by a top-k, not by a sort of all files in one task.
-    last = df.where("classification = 'scanned'").select("path").orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
-    over = (F.col("classification") == "scanned") & (F.col("path") > F.lit(last))
-    df = df.withColumn("classification", F.when(over, "over_limit").otherwise(F.col("classification")))
+    # The least max_files paths, by a top-k where there are more, not by a sort of all files in one task.
+    if df.where("classification = 'scanned'").count() > max_files:
+        last = df.where("classification = 'scanned'").select("path").orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
+        over = (F.col("classification") == "scanned") & (F.col("path") > F.lit(last))
+        df = df.withColumn("classification", F.when(over, "over_limit").otherwise(F.col("classification")))
     scanned = F.col("classification") == "scanned"
     df = df.withColumns({"text": F.when(scanned, decoded("content")), "content_hash": F.when(scanned, F.sha2("content", 256))})
     return df.withColumn("n_tokens", F.when(scanned, n_tokens(F.col("text"))).otherwise(0)).drop("content")
@@ -106,17 +121,27 @@ def git_diff(spark: SparkSession, folder: str, ref: str | None = None) -> DataFr
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of a log with their sequence; blank lines are skipped, a corrupt line is an error where it is read."""
-    kind = "event_id string, session_id string, timestamp string, event string, metadata string, previous_hash string, hash string"
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id())
-    parsed = lines.withColumn("e", F.from_json("value", kind, {"mode": "FAILFAST"}))
-    return parsed.select("e.*", F.row_number().over(Window.orderBy("_n")).alias("seq"))
+    """JSON lines of a log with their sequence, over its files in order of name; blank lines are skipped, a corrupt line is an
+    error where it is read.
 
-
-def write_log(log: DataFrame, path: str, seq: str = "seq") -> None:
-    """The log as JSON lines in order of seq."""
+    Lines are numbered within each block of a file, and blocks by what lies before them: one row per block is sorted.
+    """
+    kind = "event_id string, session_id string, timestamp string, event string, metadata string, previous_hash string, hash string"
+    at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select("value", *at).where(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id())
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_n").alias("_first"), F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(F.broadcast(blocks.select("_file", "_block", "_first", before.alias("_before"))), ["_file", "_block"])
+    parsed = placed.withColumn("e", F.from_json("value", kind, {"mode": "FAILFAST"}))
+    return parsed.select("e.*", (F.col("_n") - F.col("_first") + F.col("_before") + 1).alias("seq"))
+
+
+def write_log(log: DataFrame, path: str, seq: str = "seq", append: bool = False) -> None:
+    """The log as JSON lines in order of seq, in files whose names are in order; an empty log is an error."""
+    if log.isEmpty():
+        raise LookupError("no events to export")
     body = F.to_json(F.struct("event_id", "session_id", "timestamp", "event", F.parse_json("metadata").alias("metadata"), "previous_hash", "hash"))
-    log.orderBy(seq).select(body.alias("value")).coalesce(1).write.text(path)
+    log.orderBy(seq).select(body.alias("value")).write.mode("append" if append else "error").text(path)
 
 
 def payload(spark: SparkSession, size: int) -> DataFrame:
