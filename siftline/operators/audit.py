@@ -66,7 +66,7 @@ def _escaped(c: Column) -> Column:
     unit = lambda x: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(x)), 4, "0"))
     rest = code - 0x10000
     out = F.when(code > 0xFFFF, F.concat(unit(F.lit(0xD800) + F.shiftright(rest, 10)), unit(F.lit(0xDC00) + rest.bitwiseAND(F.lit(0x3FF))))).otherwise(unit(code))
-    out = F.when((code >= 0x20) & (code < 0x80), c).otherwise(out)
+    out = F.when((code >= 0x20) & (code < 0x7F), c).otherwise(out)
     for plain, short in _SHORT.items():
         out = F.when(c == F.lit(plain), F.lit(short)).otherwise(out)
     return out
@@ -75,7 +75,7 @@ def _escaped(c: Column) -> Column:
 def _quoted(c: Column) -> Column:
     """A JSON string literal in ASCII. Only texts that need an escape are taken apart."""
     chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
-    body = F.when(c.rlike(r'[^\x20-\x7f]|["\\]'), F.array_join(F.transform(chars, _escaped), "")).otherwise(c)
+    body = F.when(c.rlike(r'[^\x20-\x7e]|["\\]'), F.array_join(F.transform(chars, _escaped), "")).otherwise(c)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 

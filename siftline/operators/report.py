@@ -113,8 +113,12 @@ def rate(timings: DataFrame, seconds: str, payload_bytes: int) -> DataFrame:
 def plain(row: DataFrame) -> DataFrame:
     """A report as rows of (field, value), in the order of its columns; lists are one row per entry."""
     lists = {f.name for f in row.schema.fields if f.dataType.typeName() == "array"}
-    cells = [F.transform(F.col(c), lambda v, c=c: F.struct(F.lit(c).alias("field"), v.cast("string").alias("value"))) if c in lists
-             else F.array(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))) for c in row.columns]
+
+    def cells_of(name: str) -> Column:
+        cell = lambda v: F.struct(F.lit(name).alias("field"), v.cast("string").alias("value"))
+        return F.transform(F.col(name), cell) if name in lists else F.array(cell(F.col(name)))
+
+    cells = [cells_of(c) for c in row.columns]
     return row.select(F.inline(F.concat(*cells)))
 
 
