@@ -461,7 +461,21 @@ def test_vectors(spark):
             up[max(x, y)] = min(x, y)
     got = {r.id: (r.n_links, r.component_id) for r in vectors.classes(df).collect()}
     assert got == {i: (count[i], root(i)) for i, *_ in rows} and count
+    # Small blocks, leaves and intervals: two levels of the tree, labels over several intervals.
+    small = vectors.classes(df, block=8, leaf=3, interval=30)
+    assert {r.id: (r.n_links, r.component_id) for r in small.collect()} == got
     assert vectors.classes(df.limit(0)).count() == 0
+    assert [tuple(r) for r in vectors.classes(df.where("vec_id = 300")).collect()] == [(300, 0, 300)]
+
+
+def test_vectors_of_repeated_and_null_ids_and_groups_of_copies(spark):
+    rng = np.random.default_rng(6)
+    x, y, z = (rng.normal(size=8).tolist() for _ in range(3))
+    rows = [(i, x, 1) for i in range(100, 400)] + [(7, x, 1), (7, y, 1), (8, y, 1), (None, x, 1), (9, z, 1), (9, z, 1), (10, [-0.0] * 7 + [1.0], 1), (11, [0.0] * 7 + [2.0], 1)]
+    want = collections.Counter((i, *((301, 7) if i == 7 else (1, 7) if i == 8 else (2, 9) if i == 9 else (1, 10) if i in (10, 11) else (0, None) if i is None else (300, 7))) for i, *_ in rows)
+    for kind, interval in (("float", 100), ("double", 1000)):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        assert collections.Counter(tuple(r) for r in vectors.classes(df, interval=interval).collect()) == want
 
 
 def test_maxent(docs, clash):
