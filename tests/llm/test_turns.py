@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ def conversations():
     return rows + [(902, 0, "system", "Alone."), (903, 5, "user", "x" * 300_000 + ".")]
 
 
-def test_repair_against_all_edits(spark, monkeypatch):
+def test_repair_against_all_edits(spark):
     rows, want = conversations(), expected(conversations())
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"conv": F.lit(1), "at": F.lit("x"), "a.b": F.lit(2), "present": F.lit(False)})
     got = {r.conv_id: r for r in turns.repair(df).collect()}
@@ -87,18 +88,31 @@ def test_repair_against_all_edits(spark, monkeypatch):
         assert r.repaired_sha256 == hashlib.sha256("\n".join(f"{a}:{b}" for a, b in kept).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [1, 3, 1 << 16])
-def test_repaired_rows_and_blocks(spark, monkeypatch, block):
-    """Small blocks trace the same edits, and the repaired rows are those that the digest covers."""
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_blocks_of_pointers_trace_the_same_edits(monkeypatch, block):
+    """Rows in small batches and blocks: the passes give the edits of the enumeration, however both are cut."""
     monkeypatch.setattr(turns, "BLOCK", block)
-    rows, want = conversations(), expected(conversations())
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert {r.conv_id: r.audit for r in turns.repair(df).collect()} == {c: w[1] for c, w in want.items()}
-    if block != 1:
-        got = {}
-        for r in turns.repaired(df).orderBy("number").collect():
-            got.setdefault(r.conv_id, []).append((r.role, r.text))
-        assert got == {c: kept for c, (_, _, kept) in want.items() if kept}
+    want, rows = expected(conversations()), []
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2].encode(), r[3].encode())
+    seen = set()
+    for r in sorted([(c, t, " " if a is None else a, " " if x is None else x) for c, t, a, x in conversations()], key=order):
+        rows.append((*r, (r[0], *r[2:]) in seen, True))
+        seen.add((r[0], *r[2:]))
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+    batches = [turns._emit(rows[i : i + 5], types[0], types[1:], list("trxap")) for i in range(0, len(rows), 5)]
+    spilled = [d for b in turns._forward(iter(batches)) for d in zip(*(c.to_pylist() for c in b.columns))]
+    assert max(len(d[2]) for d in spilled) <= 4 * block
+    spilled.sort(key=lambda d: (d[0] is not None, d[0] or 0, -d[1]))
+    batches = [turns._emit(spilled[i : i + 4], types[0], turns._POINTER_TYPES, turns._POINTERS) for i in range(0, len(spilled), 4)]
+    got = {d[0]: d[-2] for b in turns._backward(True)(iter(batches)) for d in zip(*(c.to_pylist() for c in b.columns))}
+    assert got == {c: w[1] for c, w in want.items()}
+
+
+def test_repaired_rows_are_those_that_the_digest_covers(spark):
+    want, got = expected(conversations()), {}
+    for r in turns.repaired(spark.createDataFrame(conversations(), SCHEMA)).orderBy("number").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {c: kept for c, (_, _, kept) in want.items() if kept}
 
 
 def test_damage_and_empty_tables(spark):
