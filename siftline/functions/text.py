@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: Private-use characters that mark matches. Those of the text itself are replaced one for one, which keeps offsets.
 _S, _E = "\ue000", "\ue001"
 SPAN = "array<struct<start:int,end:int>>"
+#: Parts of a text that are folded at once, and characters of a block of text.
+CHUNK, SHIFT = 64, 12
+BLOCK = 1 << SHIFT
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
@@ -20,16 +28,61 @@ def spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
     plain = F.translate(text, _S + _E, "\ufffd\ufffd")
     marked = F.regexp_replace(plain, F.lit(f"(?:{pattern})"), F.lit(f"{_S}$0{_E}"))
 
+    none = F.array().cast(SPAN)
+    size = lambda part: F.length(part) - part.contains(_E).cast("int")
+
     def step(state: Column, part: Column) -> Column:
-        hit = part.contains(_E)
         end = state["at"] + F.length(F.substring_index(part, _E, 1))
-        found = F.when(hit, F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), end.alias("end"))))).otherwise(state["found"])
-        return F.struct((state["at"] + F.length(part) - hit.cast("int")).alias("at"), found.alias("found"))
+        found = F.when(part.contains(_E), F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), end.alias("end"))))).otherwise(state["found"])
+        return F.struct((state["at"] + size(part)).alias("at"), found.alias("found"))
+
+    # Spans are gathered chunk by chunk, each from the length of what lies before it: a fold copies its state at every step.
+    def gathered(chunks: Column) -> Column:
+        begin = lambda at: F.struct(at.alias("at"), none.alias("found"))
+        return let(
+            running(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, part: n + size(part)))),
+            lambda before: F.flatten(F.transform(chunks, lambda c, i: F.aggregate(c, begin(F.get(before, i)), step, lambda s: s["found"]))),
+        )
 
-    none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
     hit = text.rlike(pattern) if maybe is None else maybe & text.rlike(pattern)
-    return F.when(hit, F.aggregate(F.split(marked, _S), start, step, lambda s: s["found"])).otherwise(none)
+    return F.when(hit, let(let(F.split(marked, _S), chunked), gathered)).otherwise(none)
+
+
+def chunked(values: Column) -> Column:
+    """An array as an array of arrays of at most CHUNK."""
+    return F.transform(F.sequence(F.lit(1), F.size(values), F.lit(CHUNK)), lambda c: F.slice(values, c, F.lit(CHUNK)))
+
+
+def running(numbers: Column) -> Column:
+    """For each number the sum of those before it, and at last the sum of all."""
+    return F.aggregate(numbers, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+
+
+def blocks(text: Column) -> Column:
+    """A text as an array of blocks of BLOCK characters, so that a piece of it is found without a walk from its beginning.
+
+    Keep it in a column of its own: expressions over it are evaluated per piece.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+
+
+def piece(block: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of a text given as blocks."""
+    first, last = F.shiftright(start, SHIFT), F.shiftright(F.greatest(end - 1, start), SHIFT)
+    part = F.when(first == last, F.get(block, first)).otherwise(F.concat(F.get(block, first), F.array_join(F.slice(block, first + 2, last - first), "")))
+    return F.substr(part, start.bitwiseAND(F.lit(BLOCK - 1)) + 1, end - start)
+
+
+def newlines(block: Column) -> Column:
+    """Newlines before each block."""
+    return running(F.transform(block, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit("")))))
+
+
+def line_in(block: Column, before: Column, start: Column) -> Column:
+    """1-based line of an offset, from a text's blocks and the newlines before each."""
+    at = F.shiftright(start, SHIFT)
+    part = F.left(F.coalesce(F.get(block, at), F.lit("")), start.bitwiseAND(F.lit(BLOCK - 1)))
+    return F.get(before, at) + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit(""))) + 1
 
 
 def line_at(text: Column, start: Column) -> Column:

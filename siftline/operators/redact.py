@@ -1,15 +1,23 @@
 """Redaction: narrow each finding to its value, number placeholders, choose spans that don't overlap, and splice.
 
-All of it is Column expressions on the row's own findings, so that placeholders are numbered by document and nothing is
-shuffled.
+Placeholders are numbered by document and nothing is shuffled. Narrowing and splicing are Column expressions over blocks of
+the text; choosing and numbering are one sweep over all findings of an Arrow batch, in n log n, so that a text may hold
+any number of findings.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from ..functions import rules as R
+from ..functions import text as T
+from ..workers import ship
 
 MODES = ("default", "sensitive", "all")
 # What is never redacted, and the prefix of a placeholder by rule or type.
@@ -54,6 +62,67 @@ def _value(match: Column, kind: Column, name: Column) -> Column:
     )
 
 
+PICKED = ArrayType(StructType().add("at", IntegerType()).add("prefix", StringType()).add("n", IntegerType()))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element of a list column, and the elements; null lists have none."""
+    return np.repeat(np.arange(len(column)), np.asarray(column.value_lengths().fill_null(0))), column.flatten()
+
+
+def chosen(row: np.ndarray, start: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which spans stay: of higher rank first, then longer, then earlier in their row; kept if nothing kept before overlaps.
+
+    Rows without an overlap keep all. In the others each span is held against its neighbours in the ordered set of kept ones.
+    """
+    order = np.lexsort((end, start, row))
+    clash = (row[order][1:] == row[order][:-1]) & (start[order][1:] < end[order][:-1])
+    keep = ~np.isin(row, row[order][1:][clash])
+    rest = np.flatnonzero(~keep)
+    rest = rest[np.lexsort((rest, start[rest] - end[rest], -rank[rest], row[rest]))]
+    now, starts, ends = -1, [], {}
+    for i, r, a, b in zip(rest.tolist(), row[rest].tolist(), start[rest].tolist(), end[rest].tolist()):
+        if r != now:
+            now, starts, ends = r, [], {}
+        at = bisect_right(starts, a)
+        if (at == 0 or ends[starts[at - 1]] <= a) and (at == len(starts) or starts[at] >= b):
+            insort(starts, a)
+            ends[a] = b
+            keep[i] = True
+    return keep
+
+
+def numbers(row: np.ndarray, value: pa.Array, prefix: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each span the first of its row with the same value, and that one's number among the row's first ones of its prefix."""
+    code = lambda x: np.asarray(x.dictionary_encode().indices)
+    _, first, which = np.unique(np.stack((row, code(value))), axis=1, return_index=True, return_inverse=True)
+    which, first = which.reshape(-1), np.asarray(first)
+    groups = np.stack((row[first], code(prefix)[first]))
+    order = np.lexsort((first, groups[1], groups[0]))
+    new = np.concatenate(([True], (groups[:, order][:, 1:] != groups[:, order][:, :-1]).any(axis=0)))
+    begin = np.flatnonzero(new)
+    number = np.empty(len(first), np.int64)
+    number[order] = np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first)))) + 1
+    return first[which], number[which]
+
+
+@F.arrow_udf(PICKED)
+def _picked(start: pa.Array, end: pa.Array, rank: pa.Array, value: pa.Array, prefix: pa.Array) -> pa.Array:
+    """The spans of each row that are replaced, in order of their place, with the name of what replaces them."""
+    row, starts = _flat(start)
+    ends, ranks, prefixes = (_flat(x)[1] for x in (end, rank, prefix))
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("prefix", pa.string()), ("n", pa.int32())]))
+    if not len(row):
+        return pa.array([None if not v else [] for v in start.is_valid().to_pylist()], kind)
+    first, n = numbers(row, _flat(value)[1], prefixes)
+    keep = np.flatnonzero(chosen(row, *(np.asarray(x).astype(np.int64) for x in (starts, ends, ranks))))
+    keep = keep[np.lexsort((np.asarray(starts)[keep], row[keep]))]
+    begin = np.searchsorted(row, np.arange(len(start)))
+    fields = [pa.array((keep - begin[row[keep]]).astype(np.int32)), prefixes.take(pa.array(first[keep])).cast(pa.string()), pa.array(n[keep].astype(np.int32))]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(start))))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=["at", "prefix", "n"])).cast(kind)
+
+
 def redact(scanned: DataFrame, text: str = "text", mode: str = "default") -> DataFrame:
     """Adds redacted_text, records (placeholder, type, rule, start), replacements_count and n_blocked to scanned rows.
 
@@ -62,73 +131,66 @@ def redact(scanned: DataFrame, text: str = "text", mode: str = "default") -> Dat
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    t, rules = F.col(text), R.TEXT_RULES
+    ship(scanned.sparkSession)
+    t, rules, b = F.col(text), R.TEXT_RULES, F.col("_blocks")
     about = F.array(*[
         F.struct(F.lit(r.name).alias("name"), F.lit(r.type).alias("type"), F.lit(R.SEVERITIES.index(r.severity)).alias("rank"), F.lit(_prefix(r)).alias("prefix"),
                  F.lit(_wanted(r, mode)).alias("wanted"), F.lit(r.action == "block").alias("blocks"))
         for r in rules
     ])
     numbered = F.transform("findings", lambda f, i: F.struct(f["start"].alias("start"), f["end"].alias("end"), i.alias("ord"), F.get(about, f["rule"]).alias("r")))
-    df = scanned.withColumn("_all", numbered)
+    df = scanned.withColumn("_all", numbered).withColumn("_blocks", F.when(F.size("_all") > 0, T.blocks(t)))
 
-    def narrowed(f: Column) -> Column:
-        match = F.substr(t, f["start"] + 1, f["end"] - f["start"])
-        return F.struct(f["ord"].alias("ord"), f["start"].alias("at"), f["r"].alias("r"), _value(match, f["r"]["type"], f["r"]["name"]).alias("v"))
+    # One step binds what the next one names more than once.
+    wanted = F.filter("_all", lambda f: f["r"]["wanted"] & (f["end"] > f["start"]))
+    matched = F.transform(wanted, lambda f: F.struct(f["ord"].alias("ord"), f["start"].alias("at"), f["r"].alias("r"), T.piece(b, f["start"], f["end"]).alias("match")))
+    df = df.withColumn("_narrow", F.transform(matched, lambda f: F.struct(
+        f["ord"].alias("ord"), f["at"].alias("at"), f["r"].alias("r"), _value(f["match"], f["r"]["type"], f["r"]["name"]).alias("v"))))
 
-    df = df.withColumn("_narrow", F.transform(F.filter("_all", lambda f: f["r"]["wanted"] & (f["end"] > f["start"])), narrowed))
+    def around(n: Column) -> Column:
+        def seen(s: Column) -> Column:
+            near = T.piece(b, F.greatest(s["start"] - T.BLOCK, F.lit(0)), s["start"])
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), near.alias("near"), T.piece(b, s["end"], s["end"] + 1).alias("after"))
 
-    def placed(n: Column) -> Column:
         start = n["at"] + n["v"]["offset"]
-        end = start + F.length(n["v"]["value"])
-        before, after = F.substr(t, start, F.lit(1)), F.substr(t, end + 1, F.lit(1))
-        quoted = n["v"]["quoted"] | (start > 0) & (before == after) & before.isin("'", '"', "`")
-        line = F.substring_index(F.substr(t, F.lit(1), start), "\n", -1)
-        assigned = line.rlike(r"""(?U)[A-Za-z0-9_\-.]+\s*[:=]\s*['"]?$""")
+        place = T.let(F.struct(start.alias("start"), (start + F.length(n["v"]["value"])).alias("end")), seen)
+        return F.struct(n.alias("n"), place.alias("p"))
+
+    def placed(x: Column) -> Column:
+        n, p = x["n"], x["p"]
+        before = F.right(p["near"], F.lit(1))
+        quoted = n["v"]["quoted"] | (p["start"] > 0) & (before == p["after"]) & before.isin("'", '"', "`")
+        # An assignment right before the value, on its line. A block's length back tells, unless all of it could stand between.
+        far = F.when((p["start"] > T.BLOCK) & p["near"].rlike(r"""^(?U)[\s:='"]*$"""), F.substr(t, F.lit(1), p["start"])).otherwise(p["near"])
+        assigned = F.substring_index(far, "\n", -1).rlike(r"""(?U)[A-Za-z0-9_\-.]\s*[:=]\s*['"]?$""")
         return F.struct(
-            n["ord"].alias("ord"), start.alias("start"), end.alias("end"), n["v"]["value"].alias("value"), n["r"]["prefix"].alias("prefix"), n["r"]["rank"].alias("rank"),
-            n["r"]["type"].alias("type"), n["r"]["name"].alias("rule"), ((n["r"]["type"] == "secret") & ~quoted & assigned).alias("quote"),
+            n["ord"].alias("ord"), p["start"].alias("start"), p["end"].alias("end"), n["v"]["value"].alias("value"), n["r"]["prefix"].alias("prefix"), n["r"]["rank"].alias("rank"),
+            n["r"]["type"].alias("type"), n["r"]["name"].alias("rule"), n["r"]["blocks"].alias("blocks"), ((n["r"]["type"] == "secret") & ~quoted & assigned).alias("quote"),
         )
 
-    df = df.withColumn("_spans", F.filter(F.transform("_narrow", placed), lambda s: s["end"] > s["start"]))
-    # One number per value and document, counted by the prefix of its first finding, before overlaps are dropped.
-    seen_type = "array<struct<value:string,prefix:string,n:int>>"
-
-    def meet(seen: Column, s: Column) -> Column:
-        known = F.exists(seen, lambda x: x["value"] == s["value"])
-        n = F.size(F.filter(seen, lambda x: x["prefix"] == s["prefix"])) + 1
-        return F.when(known, seen).otherwise(F.concat(seen, F.array(F.struct(s["value"].alias("value"), s["prefix"].alias("prefix"), n.alias("n")))))
-
-    df = df.withColumn("_seen", F.aggregate("_spans", F.array().cast(seen_type), meet))
-    # Greedy: higher severity first, then longer, then earlier; kept if it overlaps nothing kept before.
-    ranked = F.sort_array(F.transform("_spans", lambda s: F.struct((-s["rank"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["ord"].alias("c"), s.alias("s"))))
-    df = df.withColumn("_ranked", F.transform(ranked, lambda x: x["s"]))
-    kind = "array<struct<ord:int,start:int,end:int,value:string,prefix:string,rank:int,type:string,rule:string,quote:boolean>>"
-
-    def choose(kept: Column, s: Column) -> Column:
-        clash = F.exists(kept, lambda k: (s["start"] < k["end"]) & (k["start"] < s["end"]))
-        return F.when(clash, kept).otherwise(F.concat(kept, F.array(s)))
-
-    df = df.withColumn("_kept", F.aggregate(F.col("_ranked").cast(kind), F.array().cast(kind), choose))
+    df = df.withColumn("_spans", F.filter(F.transform(F.transform("_narrow", around), placed), lambda s: s["end"] > s["start"]))
+    part = lambda name: F.transform("_spans", lambda s: s[name])
+    df = df.withColumn("_picked", _picked(*[part(name) for name in ("start", "end", "rank", "value", "prefix")]))
 
-    def record(s: Column) -> Column:
-        number = F.get(F.filter("_seen", lambda x: x["value"] == s["value"]), F.lit(0))
-        name = F.concat(F.lit("["), number["prefix"], F.lit("_"), number["n"].cast("string"), F.lit("]"))
+    def record(p: Column) -> Column:
+        s = F.get("_spans", p["at"])
+        name = F.concat(F.lit("["), p["prefix"], F.lit("_"), p["n"].cast("string"), F.lit("]"))
         shown = F.when(s["quote"], F.concat(F.lit('"'), name, F.lit('"'))).otherwise(name)
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), name.alias("placeholder"), shown.alias("shown"), s["type"].alias("type"), s["rule"].alias("rule"), s["ord"].alias("ord"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), name.alias("placeholder"), shown.alias("shown"), s["type"].alias("type"), s["rule"].alias("rule"),
+                        s["ord"].alias("ord"), s["blocks"].alias("blocks"))
 
-    df = df.withColumn("records", F.sort_array(F.transform("_kept", record)))
+    df = df.withColumn("records", F.transform("_picked", record))
 
-    def splice(state: Column, r: Column) -> Column:
-        return F.struct(r["end"].alias("at"), F.concat(state["done"], F.substr(t, state["at"] + 1, r["start"] - state["at"]), r["shown"]).alias("done"))
+    def splice(r: Column, i: Column) -> Column:
+        return F.concat(T.piece(b, F.when(i > 0, F.get("records", i - 1)["end"]).otherwise(0), r["start"]), r["shown"])
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-    spliced = F.aggregate("records", start, splice, lambda s: F.concat(s["done"], F.substr(t, s["at"] + 1)))
-    chosen = F.transform("records", lambda r: r["ord"])
+    last = F.element_at("records", -1)["end"]
+    spliced = F.concat(F.array_join(F.transform("records", splice), ""), F.substr(t, last + 1))
     return df.withColumns({
         "redacted_text": F.when(F.size("records") > 0, spliced).otherwise(t),
         "replacements_count": F.size("records"),
-        "n_blocked": F.size(F.filter("_all", lambda f: f["r"]["blocks"] & ~F.array_contains(chosen, f["ord"]))),
-    }).drop("_all", "_narrow", "_spans", "_seen", "_ranked", "_kept")
+        "n_blocked": F.size(F.filter("_all", lambda f: f["r"]["blocks"])) - F.size(F.filter("records", lambda r: r["blocks"])),
+    }).drop("_all", "_narrow", "_spans", "_picked", "_blocks")
 
 
 def matched_records(records: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:

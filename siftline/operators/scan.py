@@ -97,17 +97,27 @@ def scan(df: DataFrame, text: str = "text", origin: Column | str = "text", path:
 
 def listed(scanned: DataFrame, keys: Sequence[str], text: str = "text", rules: Sequence[R.Rule] = R.TEXT_RULES, line: Column | None = None) -> DataFrame:
     """One row per finding, with its span and text: internal, as `matched` holds what must not be shown."""
-    # Outer, as the filter that is else put before an explode would run all rules twice.
+    named = [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)]
     rows = scanned.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col(f"{SOURCE}.origin").alias("origin"), F.col(f"{SOURCE}.path").alias("path"),
-                          F.col(text).alias("_text"), F.posexplode_outer("findings").alias("ord", "f")).where("f IS NOT NULL")
-    named, text = [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys)], "_text"
+                          F.col("findings").alias("_found"), F.col(text).alias("_text"))
+    # Lines and texts are read off the row's blocks before findings become rows, so that no text is copied per finding.
+    rows = rows.withColumn("_blocks", F.when(F.size("_found") > 0, T.blocks(F.col("_text")))).withColumn("_before", T.newlines(F.col("_blocks")))
+    block, before = F.col("_blocks"), F.col("_before")
+
+    def whole(f: Column) -> Column:
+        at = T.line_in(block, before, f["start"]) if line is None else line
+        return F.struct(f["start"].alias("start"), f["end"].alias("end"), f["rule"].alias("rule"), at.alias("line"), T.piece(block, f["start"], f["end"]).alias("matched"))
+
+    # Outer, as the filter that is else put before an explode would run all rules twice.
+    rows = rows.select("*", F.transform("_found", whole).alias("_listed")).drop("_found", "_text", "_blocks", "_before")
+    rows = rows.select("*", F.posexplode_outer("_listed").alias("ord", "f")).drop("_listed").where("f IS NOT NULL")
     rows = rows.withColumn("_r", F.get(_attributes(rules), F.col("f.rule")))
     noted = F.when((F.col("_r.type") == "secret") & F.col("path").rlike(R.SENSITIVE_PATH), "sensitive_path")
     return rows.select(
         *named, "ord", F.col("_r.type").alias("type"), F.col("_r.severity").alias("severity"), F.col("_r.scanner").alias("scanner"), "origin", "path",
-        (T.line_at(F.col(text), F.col("f.start")) if line is None else line).alias("line"), F.col("_r.name").alias("rule"), F.col("_r.confidence").alias("confidence"),
+        F.col("f.line").alias("line"), F.col("_r.name").alias("rule"), F.col("_r.confidence").alias("confidence"),
         F.col("_r.action").alias("recommended_action"), F.coalesce(F.col("_r.details"), noted).alias("details"),
-        F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.substr(F.col(text), F.col("f.start") + 1, F.col("f.end") - F.col("f.start")).alias("matched"),
+        F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.matched").alias("matched"),
     )
 
 

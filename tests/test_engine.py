@@ -329,3 +329,74 @@ def test_egress_sets(spark):
     s = spark.createDataFrame([("baseline", 1, "9.9.9.9", 1), ("later", 1, "9.9.9.9", 1), ("later", 2, "8.8.8.8", 1), ("later", 2, "8.8.8.8", 1), ("later", 3, "127.0.0.1", 1), ("later", None, "7.7.7.7", 1)],
                               "phase string, local_port int, remote_ip string, remote_port int")
     assert [tuple(r) for r in report.new_endpoints(s, []).collect()] == [(2, "8.8.8.8", 1)]
+
+
+def _greedy(spans):
+    """(start, end, rank, value, prefix) of a text: what is replaced, by plain comparison of all pairs."""
+    seen = []
+    for s in spans:
+        if s[3] not in [v for v, _, _ in seen]:
+            seen.append((s[3], s[4], sum(p == s[4] for _, p, _ in seen) + 1))
+    kept = []
+    for i in sorted(range(len(spans)), key=lambda i: (-spans[i][2], spans[i][0] - spans[i][1], i)):
+        if all(spans[i][1] <= spans[k][0] or spans[k][1] <= spans[i][0] for k in kept):
+            kept.append(i)
+    name = {v: (p, n) for v, p, n in seen}
+    return [(i, *name[spans[i][3]]) for i in sorted(kept, key=lambda i: spans[i][0])]
+
+
+def test_choice_and_numbers_equal_plain_comparison():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from siftline.operators import redact
+
+    rng, rows = random.Random(2), []
+    for n in [0, 1, 2, 3, 5, 8, 13, 40, 90] * 12:
+        row = []
+        for _ in range(n):
+            a = rng.randrange(4 * n + 1)
+            row.append((a, a + rng.randrange(1, rng.choice((3, 3, 40))), rng.randrange(5), f"v{rng.randrange(n)}", rng.choice(["EMAIL", "SECRET"])))
+        rows.append(row)
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = [s for r in rows for s in r]
+    start, end, rank = (np.array([s[i] for s in flat]) for i in range(3))
+    value, prefix = (pa.array([s[i] for s in flat]) for i in (3, 4))
+    keep, (first, n) = redact.chosen(row, start, end, rank), redact.numbers(row, value, prefix)
+    begin = np.searchsorted(row, np.arange(len(rows)))
+    for r, spans in enumerate(rows):
+        own = [i for i in np.flatnonzero(keep & (row == r))]
+        got = [(i - begin[r], prefix[int(first[i])].as_py(), n[i]) for i in sorted(own, key=lambda i: start[i])]
+        assert got == _greedy(spans)
+
+
+@pytest.mark.parametrize("lead", ["", "é\U0001f600\n" * 3000])
+def test_findings_across_blocks_of_a_long_text(spark, lead):
+    """Lines, matches and replacements are right wherever blocks of the text are cut, also with nothing but spaces before a value."""
+    body = lead + "".join(f"line {i} {'x' * (i % 97)} user{i % 60}@example.com, password ={' ' * (5000 if i == 50 else 1)}longenough{i}\n" for i in range(300))
+    scanned = scan.scan(spark.createDataFrame([(1, body), (2, None), (3, "")], "id long, text string"))
+    rows = sorted(scan.listed(scanned, ["id"]).collect(), key=lambda r: r.ord)
+    assert len(rows) == 600
+    for r in rows:
+        assert r.matched == body[r.start : r.end] and r.line == body.count("\n", 0, r.start) + 1
+    want, names = body, {}
+    for i in range(300):
+        names.setdefault(f"user{i % 60}@example.com", f"[EMAIL_{len(names) + 1}]")
+    for value, name in sorted(names.items(), key=lambda x: -len(x[0])):
+        want = want.replace(" " + value, " " + name)
+    for i in reversed(range(300)):
+        want = want.replace(f" longenough{i}\n", f' "[SECRET_{i + 1}]"\n')
+    got = {r.id: r for r in redact.redact(scanned, mode="sensitive").collect()}
+    assert got[1].redacted_text == want and got[1].replacements_count == 600 and got[2].redacted_text is None and got[3].redacted_text == ""
+
+
+def test_a_text_with_very_many_findings(spark):
+    import time
+
+    body = "\n".join(f"user{i}@example.com" for i in range(30_000))
+    began = time.time()
+    out = redact.redact(scan.scan(spark.createDataFrame([(body,)], "text string"))).select("redacted_text", "replacements_count").first()
+    assert out.replacements_count == 30_000 and out.redacted_text == "\n".join(f"[EMAIL_{i + 1}]" for i in range(30_000))
+    assert time.time() - began < 90
