@@ -26,6 +26,8 @@ FORBIDDEN = [
     "matched", "match", "value", "secret", "password", "passwd", "token", "credential", "credentials", "private_key", "api_key", "apikey", "raw", "content",
     "text", "prompt",
 ]
+#: What a hash covers, in the order of the functions below.
+HASHED = ["event_id", "session_id", "timestamp", "event", "metadata", "previous_hash"]
 CHAIN = "event_id string, session_id string, timestamp string, event string, metadata string, previous_hash string, hash string"
 
 
@@ -51,6 +53,20 @@ def sanitized(metadata: pd.Series) -> pd.Series:
     return metadata.map(lambda m: json.dumps(_clean(json.loads(m)) if m else {}, sort_keys=True, separators=(",", ":"), default=str))
 
 
+def _metadata(line: str | None) -> str | None:
+    try:
+        found = json.loads(line).get("metadata") if line else None
+    except (ValueError, AttributeError):
+        return None
+    return None if found is None else json.dumps(found, sort_keys=True, separators=(",", ":"))
+
+
+@F.pandas_udf(StringType())
+def metadata_of(line: pd.Series) -> pd.Series:
+    """Canonical metadata of an event's line of any layout; null if there is none."""
+    return line.map(_metadata)
+
+
 def sanitized_map(metadata: Column) -> Column:
     """The same for a flat map of strings, without Python."""
     return F.transform_values(metadata, lambda k, v: F.when(F.lower(k).isin(FORBIDDEN), "[REDACTED]").otherwise(clip(v)))
@@ -79,24 +95,48 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
-def event_hash(event_id: Column, session_id: Column, timestamp: Column, event: Column, metadata: Column, previous: Column) -> Column:
-    """SHA-256 of the event's canonical JSON; metadata is canonical already."""
+def _parts(event_id: Column, session_id: Column, timestamp: Column, event: Column, metadata: Column, previous: Column) -> list[Column]:
+    """The event's canonical JSON in parts, without its closing brace; metadata is canonical already."""
     parts = {"event": _quoted(event), "event_id": _quoted(event_id), "metadata": metadata, "previous_hash": _quoted(previous), "session_id": _quoted(session_id), "timestamp": _quoted(timestamp)}
     text = [F.lit("{")]
     for i, (k, v) in enumerate(parts.items()):
         text += [F.lit(("," if i else "") + f'"{k}":'), v]
-    return F.sha2(F.concat(*text, F.lit("}")), 256)
+    return text
+
+
+def event_line(*fields: Column, digest: Column) -> Column:
+    """One event as a line of a log: the text that its hash covers, with the hash put behind."""
+    return F.concat(*_parts(*fields), F.lit(',"hash":"'), digest, F.lit('"}'))
 
 
-def append(events: DataFrame, chain: str, seq: str, head: str = GENESIS, first: int = 1) -> DataFrame:
+def event_hash(event_id: Column, session_id: Column, timestamp: Column, event: Column, metadata: Column, previous: Column) -> Column:
+    """SHA-256 of the event's canonical JSON."""
+    return F.sha2(F.concat(*_parts(event_id, session_id, timestamp, event, metadata, previous), F.lit("}")), 256)
+
+
+def digest(event_id: str, session_id: str, timestamp: str, event: str, metadata: str, previous: str) -> str:
+    """The hash of one event on a worker; metadata is canonical already."""
+    body = {"session_id": session_id, "timestamp": timestamp, "event": event, "event_id": event_id, "previous_hash": previous, "metadata": json.loads(metadata)}
+    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
+
+
+def append(events: DataFrame, chain: str, seq: str, head: str = GENESIS, first: int = 1, heads: DataFrame | None = None) -> DataFrame:
     """Chains events in order of seq, one chain per value of `chain`; ids continue from first, hashes from head.
 
+    heads: (chain, seq, hash) of the last event of chains that go on; others begin.
+
     events: chain, seq, session_id, timestamp, event, metadata (JSON). A chain is as long as its longest session's log.
     """
 
     names = [c.split()[0] for c in CHAIN.split(", ")]
     ship(events.sparkSession)
     rows = events.select(F.col(chain).alias("c"), F.col(seq).alias("s"), "session_id", "timestamp", "event", sanitized("metadata").alias("metadata"))
+    if heads is None:
+        rows = rows.withColumns({"n": F.lit(first - 1).cast("long"), "h": F.lit(head)})
+    else:
+        known = heads.select(F.col("chain").alias("_of"), F.col("seq").alias("n"), F.col("hash").alias("h"))
+        rows = rows.join(known, F.col("c").eqNullSafe(F.col("_of")), "left").drop("_of")
+        rows = rows.withColumns({"n": F.coalesce("n", F.lit(first - 1)), "h": F.coalesce("h", F.lit(head))})
     kind = events.schema[chain].dataType
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +145,11 @@ def append(events: DataFrame, chain: str, seq: str, head: str = GENESIS, first:
             out = []
             for d in batch.to_pylist():
                 if not begun or d["c"] != at:
-                    at, n, previous, begun = d["c"], first - 1, head, True
+                    at, n, previous, begun = d["c"], d["n"], d["h"], True
                 n += 1
-                body = {k: d[k] for k in ("session_id", "timestamp", "event")} | {"event_id": f"evt_{n:06d}", "previous_hash": previous, "metadata": json.loads(d["metadata"])}
-                digest = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()
-                out.append((n, body["event_id"], d["session_id"], d["timestamp"], d["event"], d["metadata"], previous, digest))
-                previous = digest
+                own = digest(f"evt_{n:06d}", d["session_id"], d["timestamp"], d["event"], d["metadata"], previous)
+                out.append((n, f"evt_{n:06d}", d["session_id"], d["timestamp"], d["event"], d["metadata"], previous, own))
+                previous = own
             columns = [pa.array([r[i] for r in out], pa.int64() if i == 0 else pa.string()) for i in range(len(names) + 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["c", "seq", *names])
 
@@ -123,12 +162,13 @@ def append(events: DataFrame, chain: str, seq: str, head: str = GENESIS, first:
 RUN = 100_000
 
 
-def verify(log: DataFrame, chain: list[str] | None = None, seq: str = "seq", heads: DataFrame | None = None) -> DataFrame:
+def verify(log: DataFrame, chain: list[str] | None = None, seq: str = "seq", heads: DataFrame | None = None, first: Column | None = None) -> DataFrame:
     """Per chain: n_events, ok, message and head (the last good hash before a failure).
 
     Links are checked before hashes. A cut-off tail can only be seen against heads: rows of the chain's columns and
     audit_head, the last hash that a session stored. A chain is cut into runs of RUN numbers of its sequence; the hash
-    before a run's first event comes from the last row of the run before.
+    before a run's first event comes from the last row of the run before. first: the hash before a chain's first event,
+    where a log is a part of a longer one.
     """
     keys = chain or []
     cols = [F.col(c) for c in ("event_id", "session_id", "timestamp", "event")]
@@ -140,12 +180,12 @@ def verify(log: DataFrame, chain: list[str] | None = None, seq: str = "seq", hea
     rows = rows.withColumn("_before", F.lag("hash").over(over))
     linked = rows.join(ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_run").alias("_of"), "_last"),
                        [(F.col("_run") == F.col("_of")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]], "left")
-    rows = linked.withColumn("_before", F.coalesce("_before", "_last", F.lit(GENESIS)))
+    rows = linked.withColumn("_before", F.coalesce("_before", "_last", F.lit(GENESIS) if first is None else first))
     rows = rows.withColumn("_own", event_hash(*cols, F.col("metadata"), F.col("previous_hash")))
-    bad = F.when(F.col("previous_hash") != F.col("_before"), "invalid previous_hash").when(F.col("hash") != F.col("_own"), "invalid hash")
+    bad = F.when(~F.col("previous_hash").eqNullSafe(F.col("_before")), "invalid previous_hash").when(~F.col("hash").eqNullSafe(F.col("_own")), "invalid hash")
     rows = rows.withColumn("_bad", bad)
-    first = F.min(F.when(F.col("_bad").isNotNull(), F.struct(F.col(seq), F.concat(F.lit("Event "), "event_id", F.lit(" has "), "_bad").alias("message"), F.col("_before").alias("head"))))
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n_events"), first.alias("_f"), F.max_by("hash", seq).alias("_head"))
+    worst = F.min(F.when(F.col("_bad").isNotNull(), F.struct(F.col(seq), F.concat(F.lit("Event "), F.coalesce("event_id", F.lit("without id")), F.lit(" has "), "_bad").alias("message"), F.col("_before").alias("head"))))
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n_events"), worst.alias("_f"), F.max_by("hash", seq).alias("_head"))
     found = found.select(
         *keys, "n_events", F.col("_f").isNull().alias("ok"),
         F.coalesce("_f.message", F.concat(F.col("n_events").cast("string"), F.lit(" audit events verified"))).alias("message"),

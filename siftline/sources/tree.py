@@ -12,8 +12,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType
 
 from ..functions.text import n_tokens
+from ..operators import audit
 from ..operators.paths import denied
 from ..workers import ship
+from . import chains
 
 # Folders that are never entered, and limits.
 PRUNED = {".git", ".siftline", ".venv", "venv", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache"}
@@ -121,26 +123,25 @@ def git_diff(spark: SparkSession, folder: str, ref: str | None = None) -> DataFr
 
 
 def event_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of a log with their sequence, over its files in order of name; blank lines are skipped, a corrupt line is an
-    error where it is read.
+    """JSON lines of a log with their sequence, over its files in order of name; blank lines are skipped, a corrupt line has
+    null fields, which fails its verification.
 
     Lines are numbered within each block of a file, and blocks by what lies before them: one row per block is sorted.
     """
-    kind = "event_id string, session_id string, timestamp string, event string, metadata string, previous_hash string, hash string"
     at = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
     lines = spark.read.text(path).select("value", *at).where(F.trim("value") != "").withColumn("_n", F.monotonically_increasing_id())
     blocks = lines.groupBy("_file", "_block").agg(F.min("_n").alias("_first"), F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = lines.join(F.broadcast(blocks.select("_file", "_block", "_first", before.alias("_before"))), ["_file", "_block"])
-    parsed = placed.withColumn("e", F.from_json("value", kind, {"mode": "FAILFAST"}))
-    return parsed.select("e.*", (F.col("_n") - F.col("_first") + F.col("_before") + 1).alias("seq"))
+    found = chains.parsed(placed)
+    return found.select(*[c.split()[0] for c in audit.CHAIN.split(", ")], (F.col("_n") - F.col("_first") + F.col("_before") + 1).alias("seq"))
 
 
 def write_log(log: DataFrame, path: str, seq: str = "seq", append: bool = False) -> None:
     """The log as JSON lines in order of seq, in files whose names are in order; an empty log is an error."""
     if log.isEmpty():
         raise LookupError("no events to export")
-    body = F.to_json(F.struct("event_id", "session_id", "timestamp", "event", F.parse_json("metadata").alias("metadata"), "previous_hash", "hash"))
+    body = audit.event_line(*map(F.col, audit.HASHED), digest=F.col("hash"))
     log.orderBy(seq).select(body.alias("value")).write.mode("append" if append else "error").text(path)
 
 

@@ -3,7 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from siftline import catalog_rules as catalog
+from siftline import catalog_logs as catalog
 
 SF = "/root/testdata/sf0.001"
 
