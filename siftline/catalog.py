@@ -325,18 +325,17 @@ def session_upsert(spark, sf_dir):
 
 
 @_query(f"""
-WITH t AS ({_sql(PATH, 'part')}), f AS (SELECT text || '/' || lpad(id::VARCHAR, 8, '0') || '.txt' AS path, CASE WHEN id % 9 = 0 THEN 2000000 ELSE 100 END AS size, id FROM t),
-c AS (SELECT *, CASE WHEN path LIKE '%/secrets/%' OR path LIKE '.env%' AND false THEN 'denied' WHEN size > 1000000 THEN 'skipped_large' ELSE 'scanned' END AS kind FROM f),
+WITH t AS ({_sql(PATH, 'part')}), f AS (SELECT text || '/' || lpad(id::VARCHAR, 8, '0') || '.txt' AS path, CASE WHEN id % 11 = 0 THEN NULL WHEN id % 9 = 0 THEN 2000000 ELSE 100 END AS size, id FROM t),
+c AS (SELECT *, CASE WHEN path LIKE '%/secrets/%' OR path LIKE '.env%' THEN 'denied' WHEN size IS NULL THEN 'unreadable' WHEN size > 1000000 THEN 'skipped_large' ELSE 'scanned' END AS kind FROM f),
 k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path) AS n FROM c)
 SELECT CASE WHEN kind = 'scanned' AND n > 500 THEN 'over_limit' ELSE kind END AS classification, count(*) AS n_files,
   CAST(sum(CASE WHEN kind = 'scanned' AND n <= 500 THEN 2 ELSE 0 END) AS BIGINT) AS n_tokens FROM k GROUP BY 1""")
 def file_manifest(spark, sf_dir):
-    """Files classified by path, size and the scan's own limit of files."""
+    """Files classified by path, size (null: not readable) and the scan's own limit of files, under the default patterns."""
     t = _texts(spark, sf_dir, "part", PATH)
     name = F.concat("text", F.lit("/"), F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(".txt"))
-    denied_as_is = [p for p in paths.DEFAULT_DENY if not p.startswith((".env", "~"))]
-    files = t.select(name.alias("path"), F.when(F.col("id") % 9 == 0, 2_000_000).otherwise(100).cast("long").alias("size"), F.lit("two words").cast("binary").alias("content"))
-    return tree.manifest(files, denied_as_is).groupBy("classification").agg(F.count("*").alias("n_files"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+    files = t.select(name.alias("path"), F.when(F.col("id") % 11 != 0, F.when(F.col("id") % 9 == 0, 2_000_000).otherwise(100)).cast("long").alias("size"), F.lit("two words").cast("binary").alias("content"))
+    return tree.manifest(files).groupBy("classification").agg(F.count("*").alias("n_files"), F.sum("n_tokens").cast("long").alias("n_tokens"))
 
 
 @_query("""

@@ -6,6 +6,7 @@ import os
 import subprocess
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -33,8 +34,8 @@ class _Reader(DataSourceReader):
     #: Levels of folders that the driver lists; what lies deeper is walked by the tasks.
     LEVELS = 2
 
-    def __init__(self, root: str, most: int, per: int):
-        self.root, self.most, self.per = root, most, per
+    def __init__(self, root: str, most: int, per: int, content: bool = True):
+        self.root, self.most, self.per, self.content = root, most, per, content
 
     def partitions(self) -> list[_Slice]:
         if os.path.isfile(self.root):
@@ -62,7 +63,7 @@ class _Reader(DataSourceReader):
         name = os.path.basename(full) if full == self.root else os.path.relpath(full, self.root).replace(os.sep, "/")
         try:
             size = os.path.getsize(full)
-            if size > self.most:
+            if size > self.most or not self.content:
                 return name, size, None
             with open(full, "rb") as f:
                 return name, size, f.read()
@@ -72,7 +73,7 @@ class _Reader(DataSourceReader):
 
 class TreeSource(DataSource):
     """format('repo_tree'): (path, size, content) of every file below `path`, hidden ones included; content of files above
-    `max_bytes` isn't read and null."""
+    `max_bytes` isn't read and null, nor is any with the option `content` false."""
 
     @classmethod
     def name(cls) -> str:
@@ -82,7 +83,7 @@ class TreeSource(DataSource):
         return "path string, size long, content binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], int(self.options.get("max_bytes", MAX_BYTES)), int(self.options.get("files_per_partition", 64)))
+        return _Reader(self.options["path"], int(self.options.get("max_bytes", MAX_BYTES)), int(self.options.get("files_per_partition", 64)), self.options.get("content", "true") != "false")
 
 
 @F.pandas_udf(StringType())
@@ -96,24 +97,101 @@ def tree(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFram
     return spark.read.format("repo_tree").option("max_bytes", max_bytes).load(path)
 
 
-def manifest(files: DataFrame, deny: list[str] | None = None, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Adds classification (denied, skipped_large, scanned, over_limit), text, content_hash and n_tokens.
+def _classified(files: DataFrame, deny: list[str] | None, max_bytes: int) -> DataFrame:
+    kind = F.when(denied(F.col("path"), deny), "denied").when(F.col("size").isNull(), "unreadable").when(F.col("size") > max_bytes, "skipped_large").otherwise("scanned")
+    return files.withColumn("classification", kind)
 
-    At most max_files files are scanned, in path order; others don't count against it.
-    """
-    ship(files.sparkSession)
-    kind = F.when(denied(F.col("path"), deny), "denied").when(F.col("size") > max_bytes, "skipped_large").otherwise("scanned")
-    df = files.withColumn("classification", kind)
-    # The least max_files paths, by a top-k where there are more, not by a sort of all files in one task.
+
+def _limited(df: DataFrame, max_files: int) -> DataFrame:
+    """What would be scanned beyond the least max_files paths is over_limit."""
+    # A top-k where there are more, not a sort of all files in one task.
     if df.where("classification = 'scanned'").count() > max_files:
         last = df.where("classification = 'scanned'").select("path").orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
-        over = (F.col("classification") == "scanned") & (F.col("path") > F.lit(last))
+        over = (F.col("classification") == "scanned") & (F.col("path") > F.coalesce(F.lit(last), F.lit("")))
         df = df.withColumn("classification", F.when(over, "over_limit").otherwise(F.col("classification")))
+    return df
+
+
+def _described(df: DataFrame) -> DataFrame:
     scanned = F.col("classification") == "scanned"
     df = df.withColumns({"text": F.when(scanned, decoded("content")), "content_hash": F.when(scanned, F.sha2("content", 256))})
     return df.withColumn("n_tokens", F.when(scanned, n_tokens(F.col("text"))).otherwise(0)).drop("content")
 
 
+def manifest(files: DataFrame, deny: list[str] | None = None, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Adds classification (denied, unreadable, skipped_large, scanned, over_limit), text, content_hash and n_tokens.
+
+    At most max_files files are scanned, in path order; others don't count against it. A null size is a file that couldn't be read.
+    """
+    ship(files.sparkSession)
+    return _described(_limited(_classified(files, deny, max_bytes), max_files))
+
+
+#: Content that one task reads.
+TASK_BYTES, BATCH_BYTES = 64 << 20, 4 << 20
+
+
+def _probed(root: str):
+    """(path, size, classification): what can't be opened is unreadable. Denied and large files aren't touched."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column(2).to_pylist()
+            for i, path in enumerate(batch.column(0).to_pylist()):
+                if kinds[i] == "scanned":
+                    try:
+                        open(os.path.join(root, path), "rb").close()
+                    except OSError:
+                        kinds[i] = "unreadable"
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string())], names=["path", "size", "classification"])
+
+    return run
+
+
+def _filled(root: str, most: int = BATCH_BYTES):
+    """The same with the content of what is scanned, in batches of some BATCH_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for path, size, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                content = None
+                if kind == "scanned":
+                    try:
+                        with open(os.path.join(root, path), "rb") as f:
+                            content = f.read()
+                    except OSError:
+                        kind = "unreadable"
+                rows.append((path, size, kind, content))
+                held += len(content or b"")
+                if held >= most:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.string(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["path", "size", "classification", "content"])
+
+
+def tree_manifest(spark: SparkSession, root: str, deny: list[str] | None = None, max_files: int = MAX_FILES, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """The manifest of a folder. Names and sizes come first; denied files are never opened, and content is read only of what is
+    scanned, dealt over tasks by bytes."""
+    spark.dataSource.register(TreeSource)
+    ship(spark)
+    top = os.path.dirname(root) if os.path.isfile(root) else root
+    names = spark.read.format("repo_tree").option("content", "false").option("max_bytes", max_bytes).load(root)
+    kinds = _classified(names.select("path", "size"), deny, max_bytes).mapInArrow(_probed(top), "path string, size long, classification string")
+    kinds = _limited(kinds, max_files)
+    total = kinds.where("classification = 'scanned'").agg(F.sum("size")).first()[0] or 0
+    dealt = kinds.repartition(max(1, -(-total // TASK_BYTES)), "path")
+    return _described(dealt.mapInArrow(_filled(top), "path string, size long, classification string, content binary"))
+
+
 def git_diff(spark: SparkSession, folder: str, ref: str | None = None) -> DataFrame:
     """One row with the output of git diff; an error is a RuntimeError."""
     done = subprocess.run(["git", "diff", *([ref] if ref else [])], cwd=folder, capture_output=True, text=True)

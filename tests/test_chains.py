@@ -110,3 +110,58 @@ def test_plain_log_files_keep_numbers_and_accents(spark, tmp_path):
             d = {"metadata": json.loads(r.metadata), "hash": r.hash, "event_id": r.event_id, "timestamp": r.timestamp, "event": r.event, "session_id": r.session_id, "previous_hash": r.previous_hash}
             f.write(json.dumps(d, ensure_ascii=False) + "\n")
     assert [(r.n_events, r.ok) for r in audit.verify(tree.event_log(spark, f"{tmp_path}/other")).collect()] == [(40, True)]
+
+
+def test_streamed_chains_equal_the_batch(spark, tmp_path):
+    """Events in no order over several batches: whole, changed, dropped, repeated and cut chains, each as audit.verify sees it."""
+    from siftline.streaming import chains as stream
+
+    log = audit.append(spark.createDataFrame(events(90, 6), SCHEMA).withColumn("chain", F.concat(F.lit("c"), F.col("n") % 6)), "chain", "n")
+    log = log.withColumn("metadata", F.when((F.col("chain") == "c1") & (F.col("seq") == 4), "{}").otherwise(F.col("metadata")))
+    log = log.where(~((F.col("chain") == "c2") & (F.col("seq") == 7)) & ~((F.col("chain") == "c3") & (F.col("seq") == 1)))
+    log = log.unionByName(log.where("chain = 'c4' and seq = 5")).cache()
+    log.repartition(6, F.xxhash64("hash", F.rand(3))).write.parquet(f"{tmp_path}/in")
+    found = stream.verify_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in"))
+    rows = []
+    query = found.writeStream.outputMode("update").foreachBatch(lambda df, n: rows.extend((n, r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = {r.chain: r for _, r in sorted(rows, key=lambda x: x[0])}
+    want = {r.chain: r for r in audit.verify(log, ["chain"]).collect()}
+    assert {c: (r.n_events, r.ok) for c, r in last.items()} == {c: (r.n_events, r.ok) for c, r in want.items()}
+    assert {c: (r.message, r.head) for c, r in last.items() if c != "c4"} == {c: (r.message, r.head) for c, r in want.items() if c != "c4"}
+    assert last["c4"].message.endswith("invalid previous_hash") and last["c2"].waiting == 8
+
+
+def test_denied_files_are_never_opened_and_unreadable_ones_dont_count(spark, tmp_path, monkeypatch):
+    import builtins
+
+    import pyarrow as pa
+
+    for name in ("a.py", "b.py", "c.py", ".env", "k/x.pem", "big.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("two words" if name != "big.txt" else "x" * 500)
+    got = {r.path: (r.classification, r.text) for r in tree.tree_manifest(spark, str(tmp_path), max_files=2, max_bytes=100).collect()}
+    assert got == {"a.py": ("scanned", "two words"), "b.py": ("scanned", "two words"), "c.py": ("over_limit", None), ".env": ("denied", None), "k/x.pem": ("denied", None), "big.txt": ("skipped_large", None)}
+    one = tree.tree_manifest(spark, str(tmp_path / "a.py")).collect()
+    assert [(r.path, r.classification, r.n_tokens) for r in one] == [("a.py", "scanned", 2)]
+    # The passes over names, with files that can't be opened.
+    opened, plain = [], builtins.open
+
+    def guarded(path, *args, **kw):
+        if str(path).startswith(str(tmp_path)):
+            opened.append(os.path.basename(path))
+            if path.endswith("a.py"):
+                raise PermissionError(path)
+        return plain(path, *args, **kw)
+
+    monkeypatch.setattr(builtins, "open", guarded)
+    rows = [("a.py", 9, "scanned"), ("b.py", 9, "scanned"), (".env", 9, "denied"), ("big.txt", 500, "skipped_large")]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["path", "size", "classification"])
+    probed = list(tree._probed(str(tmp_path))([batch]))
+    filled = [tuple(r.values()) for b in tree._filled(str(tmp_path), 1)(probed) for r in b.to_pylist()]
+    assert [(p, k, c) for p, _, k, c in filled] == [("a.py", "unreadable", None), ("b.py", "scanned", b"two words"), (".env", "denied", None), ("big.txt", "skipped_large", None)]
+    assert set(opened) == {"a.py", "b.py"}
+    # With a size of null, a file is unreadable and leaves its place to the next.
+    monkeypatch.undo()
+    files = spark.createDataFrame([("a.py", None, None), ("b.py", 9, b"x"), ("c.py", 9, b"y z"), (".env", None, None)], "path string, size long, content binary")
+    assert {r.path: (r.classification, r.n_tokens) for r in tree.manifest(files, max_files=2).collect()} == {"a.py": ("unreadable", 0), "b.py": ("scanned", 1), "c.py": ("scanned", 2), ".env": ("denied", 0)}
