@@ -1,4 +1,4 @@
-"""Registered queries over logs in files and streams: what is written, read again and verified."""
+"""Registered queries over logs in files and streams, tables that grow by batches, policies as tables, and numbers in large groups."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import _LOG_SQL, ORACLE_SQL, QUERIES, _log, _query, _table  # noqa: F401
-from .operators import audit
-from .sources import chains, folders
+from .operators import audit, numbering, policy_table
+from .sources import buckets, chains, folders
 from .streaming import chains as stream
 
 #: Metadata as it comes, and the canonical text that is hashed: floats, accents, nesting, a key that looks like the line's own.
@@ -48,3 +48,44 @@ def stream_chains(spark, sf_dir):
     newest = F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("batch"), F.desc("n_events")))
     seen = spark.read.parquet(f"{folder}/out").withColumn("_k", newest).where("_k = 1")
     return seen.select("chain", "n_events", "ok", "message", "head")
+
+
+@_query("""
+WITH p AS (SELECT p_partkey AS id, 't' || p_partkey % 20 AS tenant, 'dir' || p_partkey % 37 || '/' || CASE p_partkey % 5 WHEN 0 THEN 'secrets/' WHEN 1 THEN 'k.pem/' ELSE '' END || 'f' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.key' WHEN 1 THEN '.py' ELSE '.pem' END AS path FROM part),
+r AS (SELECT 't' || p_partkey % 20 AS tenant, p_partkey AS rule, CASE p_partkey % 6 WHEN 0 THEN 'dir' || p_partkey % 37 || '/*' WHEN 1 THEN '*f' || p_partkey || '.*' WHEN 2 THEN '**/secrets/**' WHEN 3 THEN '*.key'
+  WHEN 4 THEN 'f' || p_partkey || '.py' ELSE 'dir?/[!a]' || p_partkey || '*' END AS pattern FROM part WHERE p_partkey % 7 = 0)
+SELECT p.id, count(r.rule) AS n_rules, count(r.rule) > 0 AS denied FROM p LEFT JOIN r ON p.tenant = r.tenant AND (p.path GLOB r.pattern OR string_split(p.path, '/')[-1] GLOB r.pattern) GROUP BY p.id""")
+def tenant_denials(spark, sf_dir):
+    """Paths held against the glob rules of their own tenants, a seventh as many rules as paths."""
+    k = F.col("p_partkey")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    part = _table(spark, sf_dir, "part")
+    inner, end = F.when(k % 5 == 0, "secrets/").when(k % 5 == 1, "k.pem/").otherwise(""), F.when(k % 3 == 0, ".key").when(k % 3 == 1, ".py").otherwise(".pem")
+    paths = part.select(k.alias("id"), text("t", k % 20).alias("tenant"), text("dir", k % 37, "/", inner, "f", k, end).alias("path"))
+    pattern = F.when(k % 6 == 0, text("dir", k % 37, "/*")).when(k % 6 == 1, text("*f", k, ".*")).when(k % 6 == 2, "**/secrets/**").when(k % 6 == 3, "*.key")
+    pattern = pattern.when(k % 6 == 4, text("f", k, ".py")).otherwise(text("dir?/[!a]", k, "*"))
+    rules = part.where(k % 7 == 0).select(text("t", k % 20).alias("tenant"), k.alias("rule"), pattern.alias("pattern"))
+    return policy_table.denied(paths, rules).select("id", "n_rules", "denied")
+
+
+@_query("""
+WITH e AS (SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id END AS session_id, ts FROM events)
+SELECT event_id, session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM e""")
+def event_numbers(spark, sf_dir):
+    """Every event's number in its session, where one session holds a third of all events."""
+    e = _table(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), "user_id")).alias("session_id"), "ts")
+    return numbering.numbered_rows(e, ["session_id"], ["ts", "event_id"]).select("event_id", "session_id", F.col("n").cast("long").alias("n"))
+
+
+@_query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'closed' WHEN o_orderkey % 2 = 0 THEN 'running' ELSE o_orderstatus END AS status,
+CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey % 100 AS BIGINT) END AS findings FROM orders""")
+def bucket_upsert(spark, sf_dir):
+    """A table of sessions after three batches, the last one sent twice, with a column that the older rows lack."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    table = buckets.BucketTable(spark, folders.shared(spark, "sessions"), "id", 16)
+    table.upsert(o, "first")
+    table.upsert(o.where("id % 2 = 0").withColumn("status", F.lit("running")), "second")
+    closed = o.where("id % 5 = 0").select("id", F.lit("closed").alias("status"), (F.col("id") % 100).cast("long").alias("findings"))
+    for _ in range(2):
+        table.upsert(closed, "third")
+    return table.read().select("id", "status", "findings")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fingerprint, numbered, utc_string
+from .numbering import numbered_rows
 
 
 def started(rows: DataFrame, session: Column, ts: Column, tool: Column | str, mode: str, policy_version: str) -> DataFrame:
@@ -19,15 +20,17 @@ def started(rows: DataFrame, session: Column, ts: Column, tool: Column | str, mo
 
 
 def with_ids(rows: DataFrame, session: str, prefix: str, order: Column) -> DataFrame:
-    """rows with `id`: prefix_001 and so on by position in their session."""
-    return rows.withColumn("id", numbered(prefix, F.row_number().over(Window.partitionBy(session).orderBy(order))))
+    """rows with `id`: prefix_001 and so on by position in their session, which may hold any share of all rows."""
+    return numbered_rows(rows, [session], [order], "id").withColumn("id", numbered(prefix, F.col("id")))
 
 
 def decisions(found: DataFrame, session: str, policy_version: str) -> DataFrame:
     """One decision for each class of a session's classified findings: the ids it rests on and its reasons, in order."""
     by = found.where("class <> 'none'").groupBy(session, "class").agg(F.array_sort(F.collect_list("id")).alias("finding_ids"), F.array_sort(F.collect_set("rule")).alias("reason_codes"))
     rank = F.array_position(F.array(F.lit("blocked"), F.lit("redactable"), F.lit("warned")), F.col("class"))
-    return with_ids(by, session, "decision", rank).withColumn("policy_version", F.lit(policy_version))
+    # Three rows a session at most.
+    place = F.row_number().over(Window.partitionBy(session).orderBy(rank))
+    return by.withColumn("id", numbered("decision", place)).withColumn("policy_version", F.lit(policy_version))
 
 
 def counters(sessions: DataFrame, **parts: DataFrame) -> DataFrame:
