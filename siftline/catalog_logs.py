@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalog import _LOG_SQL, ORACLE_SQL, QUERIES, _log, _query, _table  # noqa: F401
+from .functions import text as T
 from .operators import audit, numbering, policy_table
 from .sources import buckets, chains, folders
 from .streaming import chains as stream
@@ -89,3 +90,16 @@ def bucket_upsert(spark, sf_dir):
     for _ in range(2):
         table.upsert(closed, "third")
     return table.read().select("id", "status", "findings")
+
+
+@_query("""SELECT event_id AS id, CASE event_id % 4 WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS observed, CASE WHEN event_id % 3 = 0 THEN 'not-measured' WHEN event_id % 4 IN (1, 2) THEN 'egress-observed' ELSE 'no-egress-observed' END AS word,
+CASE WHEN event_id % 3 = 0 THEN 'not-measured' ELSE 'measured-process' END AS method,
+CASE event_id % 4 WHEN 1 THEN '10.0.0.1:443' WHEN 2 THEN '10.0.0.1:443, 10.0.0.2:443, 10.0.0.3:443, 10.0.0.4:443, 10.0.0.5:443 (+2 more)' ELSE 'none observed' END AS endpoints FROM events""")
+def egress_words(spark, sf_dir):
+    """What is said of the connections that were sampled around each process."""
+    n = F.col("event_id") % 4
+    many = lambda k: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.struct(F.concat(F.lit("10.0.0."), i.cast("string")).alias("remote_ip"), F.lit(443).alias("remote_port")))
+    seen = F.when(n == 1, many(1)).when(n == 2, many(7)).when(n == 3, F.filter(many(1), lambda c: F.lit(False)))
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), seen.alias("c"), (F.col("event_id") % 3 != 0).alias("m"))
+    observed, word, method = T.egress_seen(F.col("c"), F.col("m"))
+    return rows.select("id", observed.alias("observed"), word.alias("word"), method.alias("method"), T.endpoints(F.col("c")).alias("endpoints"))

@@ -122,9 +122,10 @@ def clip(text: Column, limit: int = 500) -> Column:
 
 
 def utc_string(ts: Column) -> Column:
-    """ISO 8601 in UTC with a Z; without a fraction where it is zero. The session's time zone must be UTC."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return F.when(F.date_format(ts, "SSSSSS") == "000000", whole).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    """ISO 8601 in UTC with a Z, whatever the session's time zone; without a fraction where it is zero."""
+    at = F.to_utc_timestamp(ts, F.current_timezone())
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.when(F.date_format(at, "SSSSSS") == "000000", whole).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
 def new_id(prefix: str) -> Column:
@@ -144,24 +145,36 @@ def language(path: Column) -> Column:
     )
 
 
-# Labels of egress methods and the words that explain them.
-EGRESS_LABELS = {
-    "engine-originated": ("No engine-originated external requests observed", "Application-level observation only. This does not prove OS-level network isolation."),
-    "not-measured": ("Egress not measured", "An external process ran or was requested; its network use was not measured."),
-    "blocked-config": ("Configured egress controls blocked known egress paths", "Blocking by configuration. OS-level isolation may not have been verified."),
-    "measured-process": ("Process egress measured", "Sockets were sampled around the process, so that 'none observed' does not mean 'none happened'."),
-    "os-isolation": ("OS-level isolation enforced", "An OS-level isolation boundary was enforced and verified."),
-}
+# The names of the ways in which network use is known, and of what was seen.
+EGRESS_METHODS = ["engine-originated", "not-measured", "blocked-config", "measured-process", "os-isolation"]
+EGRESS_SEEN = ["not-measured", "egress-observed", "no-egress-observed"]
+
+#: A headline for each method, and what it does and doesn't tell.
+EGRESS_LABELS = dict(zip(EGRESS_METHODS, [
+    ("The engine opened no outside connection", "Seen from inside the engine alone: other programs, and the network itself, were not watched."),
+    ("Network use unknown", "Another program ran, or was to run, and nothing watched what it sent."),
+    ("Known ways out were closed by settings", "The settings were applied; whether the system enforces them was not tested."),
+    ("The program's connections were sampled", "What opens and closes between two samples isn't seen: none seen is not none made."),
+    ("The system kept the program off the network", "The boundary was in force, and was tested."),
+]))
 
 
 def egress_label(method: Column) -> tuple[Column, Column]:
     """(label, details) of an egress method."""
-    label, details = F.lit("Egress status not recorded"), F.lit("No egress observation was recorded for this session.")
+    label, details = F.lit("No word on network use"), F.lit("The session's log holds no observation of it.")
     for name, (a, b) in EGRESS_LABELS.items():
         label, details = F.when(method == name, a).otherwise(label), F.when(method == name, b).otherwise(details)
     return label, details
 
 
+def egress_seen(connections: Column, measured: Column) -> tuple[Column, Column, Column]:
+    """(observed, word, method) of a process whose new connections were sampled, or whose sampling wasn't available."""
+    some = F.coalesce(F.size(connections) > 0, F.lit(False))
+    unknown, seen, none = map(F.lit, EGRESS_SEEN)
+    on = F.coalesce(measured, F.lit(False))
+    return some, F.when(~on, unknown).when(some, seen).otherwise(none), F.when(on, "measured-process").otherwise("not-measured")
+
+
 def endpoints(connections: Column, limit: int = 5) -> Column:
     """'ip:port' of the first few connections, with '(+N more)'; 'none observed' if there are none."""
     shown = F.array_join(F.transform(F.slice(connections, 1, limit), lambda c: F.concat_ws(":", c["remote_ip"], c["remote_port"].cast("string"))), ", ")

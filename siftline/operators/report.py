@@ -63,13 +63,13 @@ def proof(sessions: DataFrame, log: DataFrame, verified: DataFrame, session_id:
     simulated = F.when(F.col("tool").isin(MODEL_TOOLS), "local-mock-coder (simulated, inferred)").otherwise("none recorded")
     backends = F.when(F.size("model_labels") > 0, F.col("model_labels")).otherwise(F.array(simulated))
     notes = F.array(
-        F.when(F.exists(backends, lambda b: b.contains("simulated")), "Model activity may be simulated unless a real backend is recorded."),
-        F.when(egress == "engine-originated", "No engine-originated requests were seen; that does not prove network isolation.")
-        .when(egress == "not-measured", "Egress was not measured; this is no verified zero-egress session.")
-        .when(egress == "not-recorded", "No egress observation was recorded for this session.")
-        .when(egress == "measured-process", "Egress was sampled; connections between samples can be missed."),
-        F.lit("Detection is defense in depth and no guarantee."), F.lit("The audit chain is local and not anchored remotely."),
-        F.when(~F.col("ok"), "Audit chain verification failed for this trail."),
+        F.when(F.exists(backends, lambda b: b.contains("simulated")), "A backend marked as simulated stands for no real model."),
+        F.when(egress == "engine-originated", "The engine's own connections are all that was looked at.")
+        .when(egress == "not-measured", "Nothing is claimed about network use, as none was measured.")
+        .when(egress == "not-recorded", "The log says nothing about network use.")
+        .when(egress == "measured-process", "Brief connections may have escaped the samples."),
+        F.lit("Scanners miss things; they are one layer among others."), F.lit("The chain is kept here alone: nobody outside holds its head."),
+        F.when(~F.col("ok"), "The session's chain did not verify."),
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     numbers = ("findings_total", "secrets_blocked", "injections_blocked", "command_guard_blocks", "path_blocks", "redactions_total", "sensitive_redactions")
