@@ -9,7 +9,8 @@ above one half are kept.
 The potentials are trained by gradient ascent of the conditional likelihood of labelled pages: its gradient is observed
 minus expected features, and the expectations come from the same messages. Labelled pages are a small generated set
 that covers menus, sidebars, notices, adverts, forms and comments, and those of a bounded sample of the table's own pages
-that mark up one article element, which labels them. At most TRAIN_PAGES of these are used.
+that mark up one article element, which labels them, but for notices, adverts, comments and the like within it. At most
+TRAIN_PAGES of these are used, pages of less than 20,000 characters; in two of three the article becomes another wrapper, so that what is learned is more than its tag.
 
 All pages of a batch are one forest, and a message pass is one array operation per depth of the trees.
 
@@ -60,6 +61,7 @@ HINTS = [
     "nav", "menu", "head", "foot", "side", "cookie", "notice", "banner", "promo", "spons", "advert", "ad", "comment", "reply", "form", "subscri", "newsletter",
     "share", "social", "related", "breadcrumb", "widget", "content", "article", "post", "entry", "main", "story", "body", "text", "legal", "popup", "modal",
 ]
+_HINTS = [re.compile(rf"(?:^|[\s_-]){hint}" + (r"(?:s|vert)?(?=$|[\s_-])" if hint == "ad" else "")) for hint in HINTS]
 WIDE = ["link_share", "long_text", "short_text", "many_stops", "after_article", "in_hidden"]
 N_TAGS, N_FEATURES = len(TAGS), len(TAGS) + len(HINTS) + len(WIDE)
 _TAG = {t: i for i, t in enumerate(TAGS)}
@@ -199,22 +201,36 @@ class Forest:
                 np.add.at(total, self.parent[level], total[level])
         kind = np.array([_TAG["#hidden"] if h else _TAG.get(t, _TAG["other"]) for t, h in zip(tags, hidden)])
         self.kind = kind
-        x = np.zeros((n, N_FEATURES))
-        x[np.arange(n), kind] = 1
+        pairs = []
+        seen: dict[str, list[int]] = {}
         for i, name in enumerate(hints):
             if name:
-                for j, hint in enumerate(HINTS):
-                    if re.search(rf"(?:^|[\s_-]){hint}" + ("(?:s|vert)?(?=$|[\\s_-])" if hint == "ad" else ""), name):
-                        x[i, N_TAGS + j] = 1
-        w = N_TAGS + len(HINTS)
-        x[:, w] = np.divide(linked, size, out=np.zeros(n), where=size > 0)
-        x[:, w + 1] = size > 200
-        x[:, w + 2] = (size > 0) & (size < 30)
-        x[:, w + 3] = stops > 3
+                if name not in seen:
+                    seen[name] = [j for j, hint in enumerate(_HINTS) if hint.search(name)]
+                pairs += [(i, j) for j in seen[name]]
+        #: Nodes and hints of their names, as pairs: few nodes have any.
+        self.hinted = np.array(pairs, np.int64).reshape(-1, 2)
+        wide = np.zeros((n, len(WIDE)), np.float32)
+        wide[:, 0] = np.divide(linked, size, out=np.zeros(n), where=size > 0)
+        wide[:, 1] = size > 200
+        wide[:, 2] = (size > 0) & (size < 30)
+        wide[:, 3] = stops > 3
         ends = np.array([t == "article" or t == "main" for t in tags], bool)
-        x[:, w + 4] = [e > 0 for e in self._after(ends)]
-        x[:, w + 5] = hidden
-        self.x = x
+        wide[:, 4] = self._after(ends)
+        wide[:, 5] = hidden
+        self.wide = wide
+
+    def evidence(self, weights: np.ndarray) -> np.ndarray:
+        """Each node's features times their weights: its tag's, its hints', and the others'."""
+        out = weights[self.kind] + self.wide @ weights[N_TAGS + len(HINTS) :]
+        np.add.at(out, self.hinted[:, 0], weights[N_TAGS + self.hinted[:, 1]])
+        return out
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Each feature summed over all nodes, times their values."""
+        tags = np.bincount(self.kind, values, N_TAGS)
+        hints = np.bincount(self.hinted[:, 1], values[self.hinted[:, 0]], len(HINTS))
+        return np.concatenate((tags, hints, values @ self.wide))
 
     def _after(self, ends: np.ndarray) -> np.ndarray:
         """1 for nodes outside of and after an article or main element of their page."""
@@ -238,7 +254,7 @@ class Model:
         """Marginals of each node (n x 2) and of each node with its parent (n x 2 x 2), by sum-product up and down."""
         n = len(f.kind)
         own = np.zeros((n, 2))
-        own[:, 1] = f.x @ self.node
+        own[:, 1] = f.evidence(self.node)
         edge = self.edge[f.kind]
         up, to_parent = own.copy(), np.zeros((n, 2))
         for level in f.levels[:0:-1]:
@@ -263,7 +279,7 @@ class Model:
         sums_node, sums_edge = np.full(N_FEATURES, 1e-6), np.full(self.edge.shape, 1e-6)
         for _ in range(rounds):
             marginal, joint = self.messages(f)
-            g = f.x.T @ (labels - marginal[:, 1]) / len(labels) - 1e-5 * self.node
+            g = f.sums(labels - marginal[:, 1]) / len(labels) - 1e-5 * self.node
             h = np.zeros_like(self.edge)
             np.add.at(h, f.kind[inner], (seen - joint)[inner])
             h = h / len(labels) - 1e-5 * self.edge
@@ -274,15 +290,17 @@ class Model:
         return self
 
 
-def own_labels(f: Forest) -> np.ndarray:
-    """Labels that an article element gives: itself and what it holds, but for parts marked as no content."""
-    labels = np.array([t == "article" for t in f.tags], np.int64)
-    bad = {"nav", "aside", "form", "footer", "header"}
-    for level in f.levels[1:]:
-        p = f.parent[level]
-        ok = np.array([f.tags[i] not in bad for i in level], bool) & ~f.hidden[level]
-        labels[level] |= labels[p] & ok
-    return labels
+#: Parts of an article that are none of its text, by tag and by words of class, id and role; and what else an article may be wrapped in.
+NO_TEXT = {"nav", "aside", "form", "footer", "header"}
+_NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|nav|menu|sidebar|cookie|notice|banner|promo|sponsored|comments?|reply|replies|newsletter|subscribe|share|sharing|social|related|widget|breadcrumbs?|popup|modal)(?=$|[\s_-])")
+WRAPPERS = ['div class="post-content"', 'div class="story"', "div", "main", "section", 'div id="content"', "div", 'div class="story"']
+
+
+def marked(page: str, number: int) -> str:
+    """A page with one article element: its content marked, and the element turned into another wrapper in two of three pages."""
+    wrapper = WRAPPERS[number // 3 % len(WRAPPERS)] if number % 3 else None
+    page = re.sub(r"<article\b([^>]*)>", lambda m: "<x-main>" + (f"<{wrapper}>" if wrapper else m[0]), page, count=1, flags=re.I)
+    return re.sub(r"</article\s*>", lambda m: (f"</{wrapper.split()[0]}>" if wrapper else m[0]) + "</x-main>", page, count=1, flags=re.I)
 
 
 def seed_pages() -> list[tuple[str, str]]:
@@ -290,6 +308,9 @@ def seed_pages() -> list[tuple[str, str]]:
     words = "the of and plain long text that runs on with commas, stops and so forth. It says what it says."
     rich = lambda k: "".join(f'<p>{words} {words} part {i}, <a href="/p{i}">with a link</a> <b>in it</b>.</p>' for i in range(k))
     plain = lambda k: "".join(f"<p>{words if i % 3 else 'Briefly said.'} Part {i}.</p>" for i in range(k))
+    said = ["It was late.", "Two of the four pumps had failed by then, and a third one was running hot.", "Why did no one call?", "The engineers were asked to come back on Monday, with new parts.",
+            "Costs rose to nine million; most of it was paid by the county.", "Few people knew the reason, and those who did kept silent about it until the report was out.", "That was all.",
+            "A second test, made in June, gave the same figures as the first one.", "In short, it works.", "They went home by train, tired but glad that the long search was over."]
     extras = {
         "nav": '<nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>',
         "menu": '<div class="menu"><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>',
@@ -322,6 +343,10 @@ def seed_pages() -> list[tuple[str, str]]:
         lambda b: "<x-main><article><h1>Short one</h1><p>Brief.</p></article></x-main>",
         lambda b: f'<x-main><div class="content"><div class="entry"><h2>Title of it</h2>{b}</div></div></x-main>',
         lambda b: f'<x-main><div id="main"><div class="text"><div>{b}</div></div></div></x-main>',
+        lambda b: f'<x-main><div class="story"><h1>Title of it</h1>{b}</div></x-main>',
+        lambda b: f"<x-main><div><h1>Title of it</h1>{b}</div></x-main>",
+        lambda b: f"<x-main><div>{b}</div></x-main>",
+        lambda b: f"<x-main><section><h2>Title of it</h2>{b}</section></x-main>",
         lambda b: f'<x-main><main><div class="story-body"><h1>Title of it</h1><div class="section">{b}</div></div></main></x-main>',
     ]
     out, kinds = [], list(extras)
@@ -331,10 +356,20 @@ def seed_pages() -> list[tuple[str, str]]:
             after = "".join(extras[kinds[(i + 2 * j + k) % len(kinds)]] for k in (2, 7))
             inside = extras[kinds[(i * 3 + j) % len(kinds)]] if j % 3 == 0 else ""
             # From one paragraph to many, with and without links in them.
-            para = (plain if (i + j // 4) % 2 else rich)((4, 1, 12, 40)[(i + j) % 4])
+            para = (plain if (i + j // 4) % 2 else rich)((4, 2, 12, 3, 1, 30, 6)[(i + j) % 7])
             main = shell(para + (f"<x-not>{inside}</x-not>" if inside else ""))
             body = f"<div class='page'>{before}{main}{after}</div>" if j % 2 else f"{before}{main}{after}"
             out.append(f"<html><head><title>t</title></head><body>{body}</body></html>")
+        # Small pages: a menu, a few short paragraphs, what stands among or after them, a footer.
+        for j, k in enumerate((1, 2, 3, 5, 8)):
+            for n, names in enumerate(((), ("ad",), ("share",), ("comments",), ("ad", "share", "thread"))):
+                parts = [f"<p>{said[(i * 5 + j * 3 + n + q) % len(said)]}</p>" for q in range(k)]
+                noise = [extras[name] for name in names]
+                if n and (i + j + n) % 2:
+                    parts[1:1] = [f"<x-not>{noise[0]}</x-not>"]
+                    parts += [f"<x-not>{x}</x-not>" for x in noise[1:]]
+                    noise = []
+                out.append(f"<html><body>{extras[('nav', 'menu')[j % 2]]}{shell(''.join(parts))}{''.join(noise)}{extras['footer']}</body></html>")
     return [(x, "x-main") for x in out * SEEDED]
 
 
@@ -342,11 +377,11 @@ def seed_labels(pages: list[str]) -> tuple[list[str], list[np.ndarray]]:
     """Labels of generated pages, one array per page, and the pages without their marks."""
     plain, labels = [], []
     for page in pages:
-        tags, parents, _, _ = parse(page)
+        tags, parents, names, _ = parse(page)
         state, keep = [0] * len(tags), []
         for i, (t, p) in enumerate(zip(tags, parents)):
             above = state[p] if p >= 0 else 0
-            state[i] = 1 if t == "x-main" else 0 if t == "x-not" or t in HIDDEN else above
+            state[i] = 1 if t == "x-main" else 0 if t == "x-not" or t in HIDDEN or t in NO_TEXT or names[i] and _NOISE.search(names[i]) else above
             if t not in ("x-main", "x-not"):
                 keep.append(state[i])
         plain.append(re.sub(r"</?x-(?:main|not)>", "", page))
@@ -363,13 +398,8 @@ def train(pages: DataFrame, column: str = "html", most: int = TRAIN_PAGES) -> Mo
     some = pages.where(F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(share)) == 0).where(once).select(F.col(f"`{column}`").alias("page"))
     chosen = some.orderBy(F.xxhash64("page"), "page").limit(most)
     rows = chosen.collect()
-    # Every second generated page, so that they don't outweigh the table's own.
-    plain, labels = seed_labels([p for p, _ in seed_pages()][::2])
-    f = Forest(plain + [r[0] for r in rows])
-    given = np.concatenate(labels)
-    own = own_labels(f)
-    own[: len(given)] = given
-    return Model().train(f, own)
+    plain, labels = seed_labels([p for p, _ in seed_pages()] + [marked(r[0], i) for i, r in enumerate(rows)])
+    return Model().train(Forest(plain), np.concatenate(labels))
 
 
 def texts(f: Forest, content: np.ndarray) -> list[str]:

@@ -658,7 +658,7 @@ def test_messages_are_exact_marginals():
     rng = np.random.default_rng(0)
     m = pages.Model()
     m.node, m.edge = rng.normal(size=m.node.shape), rng.normal(size=m.edge.shape)
-    own, n = f.x @ m.node, len(f.kind)
+    own, n = f.evidence(m.node), len(f.kind)
     total, on = 0.0, np.zeros(n)
     for y in itertools.product((0, 1), repeat=n):
         e = math.exp(sum(own[i] * y[i] for i in range(n)) + sum(m.edge[f.kind[i], y[f.parent[i]], y[i]] for i in range(n) if f.parent[i] >= 0))
