@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalog import _LOG_SQL, ORACLE_SQL, QUERIES, _log, _query, _table  # noqa: F401
+from .catalog import _LOG_SQL, ORACLE_SQL, QUERIES, _log, _query, _sql, _table, _texts  # noqa: F401
 from .functions import text as T
-from .operators import audit, numbering, policy_table
+from .operators import audit, literals, numbering, policy_table, scan
 from .sources import buckets, chains, folders
 from .streaming import chains as stream
 
@@ -103,3 +103,17 @@ def egress_words(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), seen.alias("c"), (F.col("event_id") % 3 != 0).alias("m"))
     observed, word, method = T.egress_seen(F.col("c"), F.col("m"))
     return rows.select("id", observed.alias("observed"), word.alias("word"), method.alias("method"), T.endpoints(F.col("c")).alias("endpoints"))
+
+
+SOURCE = """o_orderkey | case o_orderkey % 4 when 0 then 'k = f"a{v}sk_test_fake' || lpad(cast(o_orderkey as string), 10, '0') || 'b{w}"  # u@example.com' when 1 then 'const m = `x${a.b({c: 1})} u' || cast(o_orderkey as string) || '@example.com ${ b }` + "plain";'
+when 2 then 'd = rb"sk_test_fake' || lpad(cast(o_orderkey as string), 10, '0') || '"; e = "sk_test_fake' || lpad(cast(o_orderkey as string), 10, '0') || '"' else 'n = "nothing" # to see' end"""
+
+
+@_query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'k = f"a{v}[SECRET_1]{w}"  # u@example.com' WHEN 1 THEN 'const m = `x${a.b({c: 1})}[EMAIL_1]${ b }` + "plain";'
+WHEN 2 THEN 'd = rb"[SECRET_1]"; e = "[SECRET_1]"' ELSE 'n = "nothing" # to see' END AS redacted_text, CASE o_orderkey % 4 WHEN 3 THEN 0 WHEN 2 THEN 2 ELSE 1 END::INT AS replacements_count,
+CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END::INT AS n_outside FROM orders""")
+def source_literals(spark, sf_dir):
+    """Lines of Python and JavaScript, redacted within their literals."""
+    rows = _texts(spark, sf_dir, "orders", SOURCE)
+    out = literals.redact(scan.scan(rows), F.when(F.col("id") % 4 == 1, "javascript").otherwise("python"))
+    return out.select("id", "redacted_text", "replacements_count", "n_outside")
