@@ -35,11 +35,12 @@ def chain_log(spark, sf_dir):
 
 @_query(f"WITH {_LOG_SQL}," + _HEADS.format(metadata="""'{"finding_type":"' || kind || '","n":' || n || ',"recommended_action":"' || action || '"}'""", key="CAST(user_id AS VARCHAR)"))
 def stream_chains(spark, sf_dir):
-    """The chains of all users verified as a stream of files whose events come in no order, in a few batches."""
+    """The chains of all users verified as a stream of files whose events come in no order, in two batches."""
     folder = folders.shared(spark, "stream")
     log = audit.append(_log(spark, sf_dir), "user_id", "n")
     log.repartition(4, F.xxhash64("hash")).write.parquet(f"{folder}/in")
-    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    half = -(-len(spark.read.parquet(f"{folder}/in").inputFiles()) // 2)
+    events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, half)).parquet(f"{folder}/in")
 
     def keep(batch, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
