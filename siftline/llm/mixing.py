@@ -15,6 +15,8 @@ a null id draws as the id ''; empty tables give empty results; other columns pas
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from .common import cut, read, without
 
 #: Largest mean that is inverted in one draw, and steps of the inversion: P(X > STEPS | PART) < 1e-12.
 PART, STEPS = 8.0, 40
+#: Bytes of text that a partition of the shuffled copies holds, about.
+PART_BYTES = 64 << 20
 #: Sources up to this number are broadcast (a few dozen bytes each); above it, a salted join is used.
 BROADCAST_SOURCES, SALTS = 10_000, 64
 
@@ -33,8 +37,10 @@ def hashed(*parts: Column) -> Column:
 
 
 def source_sizes(docs: DataFrame, source: str, text: str) -> DataFrame:
-    """Characters per source, summed before the shuffle."""
-    return docs.groupBy(F.col(source).alias("_source")).agg(F.sum(F.length(F.coalesce(F.col(text), F.lit(""))).cast("long")).alias("_size"))
+    """Characters and bytes per source, summed before the shuffle."""
+    said = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    sums = [F.sum(size(said).cast("long")).alias(name) for size, name in ((F.length, "_size"), (F.octet_length, "_bytes"))]
+    return docs.groupBy(F.col(f"`{source}`").alias("_source")).agg(*sums)
 
 
 def source_rates(sizes: DataFrame, weights: dict[str, float] | None, exponent: float, epochs: float) -> DataFrame:
@@ -49,7 +55,7 @@ def source_rates(sizes: DataFrame, weights: dict[str, float] | None, exponent: f
     # Two numbers come to the driver.
     targets, size = aimed.agg(F.sum("_target"), F.sum("_size")).first()
     rate = F.lit(epochs) * F.col("_target") / F.lit(targets or 1.0) * F.lit(size or 0) / F.col("_size")
-    return aimed.select("_source", rate.alias("rate"))
+    return aimed.select("_source", "_bytes", rate.alias("rate"))
 
 
 def poisson(rate: Column, *seed: Column) -> Column:
@@ -80,10 +86,12 @@ def mix(
     docs = without(docs, "copy_no", "n_copies", "shuffle_key") if extra else docs
     spark = docs.sparkSession
     rates = source_rates(cut(source_sizes(docs, source, text)), weights, exponent, epochs)
+    # Two numbers, from one small row per source: how many sources there are, and the bytes that their copies make.
+    sources, copied = rates.agg(F.count("*"), F.sum(F.col("rate") * F.col("_bytes"))).first()
+    rates = rates.select("_source", "rate")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*cols).alias("_row"), F.col(source).alias("_s"), F.col(key).alias("_k"))
-    # approx_count_distinct is exact enough for a size check and is bounded itself.
-    if docs.agg(F.approx_count_distinct(source)).first()[0] <= BROADCAST_SOURCES:
+    rows = docs.select(F.struct(*cols).alias("_row"), F.col(f"`{source}`").alias("_s"), F.col(f"`{key}`").alias("_k"))
+    if sources <= BROADCAST_SOURCES:
         joined = rows.join(F.broadcast(rates), F.col("_s").eqNullSafe(F.col("_source")))
     else:
         salted = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
@@ -93,7 +101,7 @@ def mix(
     copies = counted.select("_row", "_k", "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
     ordered = copies.withColumn("shuffle_key", hashed(F.lit(seed), F.lit("order"), F.col("_k"), F.col("copy_no")))
     # The key is uniform and unique, so hash partitions are even; the order within and among them is random.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(spark.sparkContext.defaultParallelism, math.ceil((copied or 0) / PART_BYTES))
     mixed = ordered.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key")
     return mixed.select("_row.*", "copy_no", "n_copies", "shuffle_key") if extra else mixed.select("_row.*")
 
