@@ -6,8 +6,8 @@ file holds token i) never touch the ids, and a range of keys or of tokens is rea
 
 `start` is counted in two steps: within a file while it is written, and over files from one total per file.
 
-Defined results: a null or empty text has only its end id; rows with equal keys are ordered by their texts; a null key
-comes first; an empty table writes a file without rows; other columns aren't written.
+Defined results: a null or empty text has only its end id; rows with equal keys are ordered by a hash of their texts and
+may lie in several files, so that a key of many texts (null, say) is no file of its own; a null key comes first; an empty table writes a file without rows; other columns aren't written.
 """
 
 from __future__ import annotations
@@ -54,7 +54,8 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
                 written += int(at[-1])
 
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    ordered = rows.repartitionByRange(partitions_for(docs, text), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(partitions_for(docs, text), *order).sortWithinPartitions(*order, "text")
     ordered = ordered.select("doc_id", F.spark_partition_id().alias("part"), "text")
     kind = docs.schema[key].dataType.simpleString()
     arrow_map(ordered, run, f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids array<int>").write.options(**LAYOUT).parquet(folder)
