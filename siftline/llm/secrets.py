@@ -1,11 +1,17 @@
 """Secret scans: fixed patterns, and strings that look random under character Markov models.
 
-Base kinds are patterns. Beyond them, every long run of token characters is scored by two first-order Markov models of
-characters, one of random strings and one of ordinary identifiers, each with the chances of a first character, of each
-next one, and of ending after each; a run whose log-likelihood ratio exceeds a threshold is a secret of kind `markov`.
-Both models are counted from labelled samples: runs inside base matches and strings drawn from digests of the rows' ids
-(random), and the runs outside base matches (ordinary) of a hash-chosen bounded sample of the texts. A fifth of the
-labelled runs is held out; the threshold is the least that no more than FALSELY of the held-out ordinary runs exceed.
+Base kinds are patterns. Beyond them, every long run of token characters is scored by first-order Markov models of
+characters, one of random strings, one of ordinary identifiers and one of plain numbers (card, order and phone numbers
+look random to the second, but are no secrets), each with the chances of a first character, of each next one, and of
+ending after each. A run's log-likelihood ratio is that of the random model against the better of the two others; a run
+whose ratio exceeds a threshold is a secret of kind `markov`. The models are counted from labelled samples: runs inside
+base matches and strings drawn from digests of the rows' ids (random), digits drawn from them and the runs of digits
+(numbers), and the other runs outside base matches (ordinary), of a hash-chosen bounded sample of the texts.
+
+The threshold depends on a run's length n: ratios of ordinary runs have about the mean `mean * n` and the deviation
+`spread * sqrt(n)`, so that runs of all lengths tell how many deviations above the mean no more than FALSELY of them lie.
+A tenth of the different runs decides that, and another tenth, in neither the counts nor the threshold, measures
+the shares caught and falsely taken. With fewer than 1 / FALSELY ordinary runs to decide, the greatest is the threshold.
 
 Everything is Column expressions: a text without a hit costs one scan per kind, and only texts with a hit are cut up to
 find positions. Positions are code points, ends exclusive.
@@ -18,7 +24,7 @@ scanned one by one; texts may be of any length; an empty table gives an empty re
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +38,8 @@ BASE = {
     "hex": (r"[0-9a-f]{24,}", 0, 24),
 }
 KINDS = [*BASE, "markov"]
-RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
-#: Runs of this length and more teach the model of ordinary identifiers.
-LEARN_RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}"
+#: Least characters of a run that is scored, unless a model says otherwise, and of one that teaches what is ordinary.
+RUN_CHARS, LEARN_CHARS = 16, 8
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Documents that the models learn from, about; share of held-out ordinary runs that may be taken for secrets.
 LEARN_DOCS, FALSELY = 4000, 0.0005
@@ -71,68 +76,104 @@ def base_spans(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratios by pair of character codes (0: beginning and end), the least ratio of a secret, and what it
-    gave on the held-out runs: the shares of random ones caught and of ordinary ones taken for secrets."""
+    """Log-likelihood ratios by pair of character codes (0: beginning and end), against identifiers and against numbers;
+    how ratios of ordinary runs grow with the length, and how many deviations above that a secret lies; the least
+    characters of a run that is scored; and the shares of unseen random runs caught and of ordinary ones falsely taken."""
 
     table: tuple[float, ...] = ()
-    least: float = math.inf
+    numbers: tuple[float, ...] = ()
+    mean: float = 0.0
+    spread: float = 0.0
+    deviations: float = math.inf
+    run_chars: int = RUN_CHARS
     caught: float = 0.0
     falsely: float = 0.0
 
+    def accepts(self, run: Column) -> Column:
+        """Whether the run is a secret."""
+        n = F.length(run)
+        return ratio(run, self.table, self.numbers) > F.greatest(F.lit(0.0), self.mean * n + self.deviations * self.spread * F.sqrt(n))
+
 
 CODES = len(ALPHABET) + 1
 
 
+def run_pattern(least: int) -> str:
+    """Matches runs of at least so many characters."""
+    return rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}"
+
+
 def _codes(run: Column) -> Column:
     chars = F.filter(F.split(run, ""), lambda c: c != "")
     return F.concat(F.array(F.lit(0)), F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c)), F.array(F.lit(0)))
 
 
 def labelled(docs: DataFrame, key: str = "doc_id", text: str = "text", learn_docs: int = LEARN_DOCS) -> DataFrame:
-    """(label, run): 1 for random strings, 0 for ordinary runs, from about learn_docs documents chosen by a hash of the id."""
+    """(label, run): 1 for random strings, 2 for numbers, 0 for other runs, from about learn_docs documents chosen by a hash
+    of the id."""
     share = max(1, docs.count() // learn_docs)
     chosen = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("learn")), F.lit(share)) == 0
-    sample = cut(docs.where(chosen).select(F.col(f"`{key}`").cast("string").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")))
+    sample = docs.where(chosen).select(F.col(f"`{key}`").cast("string").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     base = "|".join(f"(?:{p})" for p, _, _ in BASE.values())
-    runs = lambda column, pattern: F.explode(F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1)))
-    secret = sample.select(F.explode(F.regexp_extract_all("t", F.lit(f"({base})"), F.lit(0))).alias("m")).select(runs("m", "[A-Za-z0-9+/_=-]{16,}").alias("run"))
-    # Digests in hexadecimal and base 64, cut to 16 up to 43 characters.
+    runs = lambda t, least: F.regexp_extract_all(t, F.lit(f"({run_pattern(least)})"), F.lit(1))
+    tagged = lambda label, found: F.transform(found, lambda run: F.struct(label(run).cast("int").alias("label"), run.alias("run")))
+    secret = F.flatten(F.transform(F.regexp_extract_all("t", F.lit(f"({base})"), F.lit(0)), lambda m: runs(m, RUN_CHARS)))
+    # Digests in hexadecimal and base 64, and the digits of one, cut to 16 up to 43 characters.
     digest, long = F.sha2(F.concat(F.lit("random"), F.coalesce("k", F.lit(""))), 256), F.pmod(F.xxhash64("k"), F.lit(28)).cast("int") + 16
-    drawn = sample.select(F.explode(F.array(F.substring(digest, F.lit(1), long), F.substring(F.base64(F.unhex(digest)), F.lit(1), long))).alias("run"))
-    plain = sample.select(F.regexp_replace("t", base, " ").alias("t")).select(runs("t", LEARN_RUN).alias("run"))
-    return secret.union(drawn).select(F.lit(1).alias("label"), "run").union(plain.select(F.lit(0), "run"))
+    drawn = F.array(F.substring(digest, F.lit(1), long), F.substring(F.base64(F.unhex(digest)), F.lit(1), long))
+    number = F.array(F.substring(F.translate(digest, "abcdef", ""), F.lit(1), long))
+    plain = runs(F.regexp_replace("t", base, " "), LEARN_CHARS)
+    kinds = F.concat(
+        tagged(lambda run: F.lit(1), F.concat(secret, drawn)), tagged(lambda run: F.lit(2), number),
+        tagged(lambda run: F.when(run.rlike("^[0-9]+$"), 2).otherwise(0), plain),
+    )
+    return sample.select(F.inline(kinds))
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", learn_docs: int = LEARN_DOCS) -> Model:
-    """The models of a table, and the threshold that its held-out runs give."""
-    runs = cut(labelled(docs, key, text, learn_docs).withColumn("held", F.pmod(F.xxhash64("run", F.lit("fold")), F.lit(5)) == 0))
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", learn_docs: int = LEARN_DOCS, run_chars: int = RUN_CHARS) -> Model:
+    """The models of a table, and the threshold that its held-out runs give. run_chars: least characters of a run that is
+    scored; 1 scores every run."""
+    runs = cut(labelled(docs, key, text, learn_docs).withColumn("fold", F.pmod(F.xxhash64("run", F.lit("fold")), F.lit(10)).cast("int")))
     pairs = F.arrays_zip(F.slice(_codes(F.col("run")), 1, F.length("run") + 1).alias("a"), F.slice(_codes(F.col("run")), 2, F.length("run") + 1).alias("b"))
-    # At most 2 * CODES**2 rows come to the driver.
-    counts = runs.where("NOT held").select("label", F.inline(pairs)).groupBy("label", "a", "b").count().collect()
-    if {label for label, *_ in counts} != {0, 1}:
+    # At most 3 * CODES**2 rows come to the driver.
+    counts = runs.where("fold > 1").select("label", F.inline(pairs)).groupBy("label", "a", "b").count().collect()
+    if not {label for label, *_ in counts} >= {0, 1}:
         return Model()
-    seen = {0: [0.5] * CODES**2, 1: [0.5] * CODES**2}
+    seen = [[0.5] * CODES**2 for _ in range(3)]
     for label, a, b, n in counts:
         seen[label][a * CODES + b] += n
-    rows = {label: [sum(c[i * CODES : i * CODES + CODES]) for i in range(CODES)] for label, c in seen.items()}
-    table = tuple(round(math.log(seen[1][i] / rows[1][i // CODES]) - math.log(seen[0][i] / rows[0][i // CODES]), 4) for i in range(CODES**2))
-    scored = cut(runs.where("held").where(F.length("run") >= 16).select("label", ratio(F.col("run"), table).alias("ratio")))
-    # Without ordinary runs of a secret's length, those of any length are the measure.
-    ordinary = scored.where("label = 0")
-    if ordinary.isEmpty():
-        ordinary = runs.where("held AND label = 0").select(F.lit(0).alias("label"), ratio(F.col("run"), table).alias("ratio"))
-    least = max(0.0, ordinary.agg(F.percentile("ratio", 1 - FALSELY)).first()[0] or 0.0)
-    over = lambda label: F.avg(F.when(F.col("label") == label, (F.col("ratio") > least).cast("double")))
-    caught, falsely = scored.agg(over(1), over(0)).first()
-    return Model(table, round(least, 4), caught or 0.0, falsely or 0.0)
-
-
-def ratio(run: Column, table: tuple[float, ...]) -> Column:
-    """Log-likelihood ratio of random against ordinary for a run of ALPHABET's characters."""
-    ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")
-    step = lambda s, c: F.struct(c.alias("last"), (s["sum"] + F.get(ratios, s["last"] * CODES + c)).alias("sum"))
+    chances = [[math.log(c[i] / sum(c[i - i % CODES : i - i % CODES + CODES])) for i in range(CODES**2)] for c in seen]
+    table, numbers = (tuple(round(x - y, 4) for x, y in zip(chances[1], chances[k])) for k in (0, 2))
+    # Different runs of the two folds, each scored once.
+    held = runs.where("fold < 2").distinct().select("label", "fold", F.length("run").alias("n"), ratio(F.col("run"), table, numbers).alias("ratio"))
+    held = cut(held.withColumn("ordinary", F.col("label") != 1))
+    deciding = held.where("ordinary AND fold = 0")
+    total, chars, ratios, squares = deciding.agg(F.count("*"), F.sum("n"), F.sum("ratio"), F.sum(F.col("ratio") ** 2 / F.col("n"))).first()
+    if not total:
+        return Model()
+    mean = round(ratios / chars, 4)
+    # The mean of (ratio - mean * n)**2 / n.
+    spread = round(math.sqrt(max(0.0, squares - 2 * mean * ratios + mean**2 * chars) / total), 4) or 1.0
+    above = (F.col("ratio") - mean * F.col("n")) / (spread * F.sqrt("n"))
+    deviations = deciding.agg(F.max(above) if total * FALSELY < 1 else F.percentile(above, 1 - FALSELY)).first()[0]
+    found = Model(table, numbers, mean, spread, round(deviations, 4), run_chars)
+    taken = F.col("ratio") > F.greatest(F.lit(0.0), mean * F.col("n") + found.deviations * spread * F.sqrt("n"))
+    share_of = lambda which: F.avg(F.when(which, taken.cast("double")))
+    caught, falsely = held.where("fold = 1").agg(share_of(~F.col("ordinary") & (F.col("n") >= run_chars)), share_of(F.col("ordinary"))).first()
+    return replace(found, caught=caught or 0.0, falsely=falsely or 0.0)
+
+
+def ratio(run: Column, table: tuple[float, ...], numbers: tuple[float, ...]) -> Column:
+    """Log-likelihood ratio of random against the better of identifier and number for a run of ALPHABET's characters."""
+    words, digits = (F.split(F.lit(",".join(map(str, t))), ",").cast("array<double>") for t in (table, numbers))
+
+    def step(s: Column, c: Column) -> Column:
+        at = s["last"] * CODES + c
+        return F.struct(c.alias("last"), (s["word"] + F.get(words, at)).alias("word"), (s["number"] + F.get(digits, at)).alias("number"))
+
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("word"), F.lit(0.0).alias("number"))
     codes = _codes(run)
-    return F.aggregate(F.slice(codes, 2, F.size(codes)), F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda s: s["sum"])
+    return F.aggregate(F.slice(codes, 2, F.size(codes)), start, step, lambda s: F.least(s["word"], s["number"]))
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -140,9 +181,9 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = F.array().cast(_SPAN)
     if model.table:
-        secret = lambda run: ratio(run, model.table) > model.least
-        runs = F.regexp_extract_all(t, F.lit(f"({RUN})"), F.lit(1))
-        found = F.when(F.exists(runs, secret), find(t, RUN, len(BASE), secret)).otherwise(found)
+        pattern = run_pattern(model.run_chars)
+        runs = F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+        found = F.when(F.exists(runs, model.accepts), find(t, pattern, len(BASE), model.accepts)).otherwise(found)
     df = docs.withColumns({"_base": base_spans(t), "_markov": found})
     added = F.filter("_markov", lambda m: ~F.exists(F.col("_base"), lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return df.withColumn("_spans", F.sort_array(F.concat("_base", added))).drop("_markov")

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from dataclasses import replace
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -98,6 +99,16 @@ def test_poisson_moments(spark, rate):
     assert abs(r[0] - rate) < 5 * math.sqrt(rate / 4000) and abs(r[1] - rate) < 0.15 * rate + 0.05
 
 
+def test_mixing_partitions_follow_the_copied_bytes(docs, monkeypatch):
+    dotted = docs.withColumnRenamed("source", "from.source").withColumnRenamed("doc_id", "doc.id").withColumnRenamed("text", "the.text")
+    mix = lambda epochs: mixing.mix(dotted, epochs=epochs, key="doc.id", source="from.source", text="the.text")
+    few = mix(1.0).rdd.getNumPartitions()
+    copied = sum(len((t or "").encode()) for _, t, *_ in DOCS)
+    monkeypatch.setattr(mixing, "PART_BYTES", copied // 40)
+    once, twice = (mix(e).rdd.getNumPartitions() for e in (1.0, 2.0))
+    assert few == docs.sparkSession.sparkContext.defaultParallelism and 30 <= once <= 50 and 60 <= twice <= 100
+
+
 def test_mixing_salted_join_gives_the_same(docs, monkeypatch):
     whole = sorted((r.doc_id, r.copy_no) for r in mixing.mix(docs, extra=True).collect())
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
@@ -277,6 +288,36 @@ def test_secrets_on_held_out_kinds_of_strings(spark):
     assert caught >= 0.97 and falsely <= 0.005
 
 
+def test_secret_ratios_against_plain_python(spark):
+    """The ratio of each run, its threshold and its verdict, computed one character at a time; and runs shorter than 16."""
+    rng = random.Random(12)
+    words = "request buffer header column session handler builder factory stream payment customer delivery".split()
+    docs = [(i, " ".join("".join(rng.choice("0123456789") for _ in range(16)) if rng.random() < 0.2 else "_".join(rng.sample(words, rng.choice([1, 2, 3]))) for _ in range(30))) for i in range(900)]
+    model = secrets.learn(spark.createDataFrame(docs, "doc_id long, text string"), run_chars=1)
+    runs = ["".join(rng.choice(secrets.ALPHABET) for _ in range(rng.randrange(1, 50))) for _ in range(150)] + [w for _, t in docs[:8] for w in t.split()]
+    got = spark.createDataFrame([(r,) for r in runs], "run string").select("run", secrets.ratio(F.col("run"), model.table, model.numbers).alias("x"), model.accepts(F.col("run")).alias("secret")).collect()
+    for r in got:
+        codes = [0, *(secrets.ALPHABET.index(c) + 1 for c in r.run), 0]
+        sums = [sum(t[a * len(secrets.ALPHABET) + a + b] for a, b in zip(codes, codes[1:])) for t in (model.table, model.numbers)]
+        n = len(r.run)
+        assert abs(r.x - min(sums)) < 1e-6 and r.secret == (r.x > max(0.0, model.mean * n + model.deviations * model.spread * math.sqrt(n)))
+    assert sum(r.secret for r in got[150:]) == 0 and model.falsely <= 0.002 and model.caught > 0.97
+    short = spark.createDataFrame([(0, "customer Zq7Xk9Wv4Jb2 handler 4111111111111111 0123")], "doc_id long, text string")
+    spans = [secrets.scan(short, m).select(secrets.written(F.col("_spans"))).first()[0] for m in (model, replace(model, run_chars=16))]
+    assert spans == ["markov:9:21", ""]
+
+
+def test_secrets_leave_numbers_alone(spark):
+    """Card and order numbers, frequent or rare among the texts, are no secrets; a key beside them is."""
+    rng = random.Random(13)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    for share in (0.0, 0.02, 0.6):
+        said = [(i, " ".join(digits(rng.randrange(12, 20)) if rng.random() < share else "_".join(rng.sample(["settlement", "transaction", "merchant", "reference"], 2)) for _ in range(12))) for i in range(900)]
+        model = secrets.learn(spark.createDataFrame(said, "doc_id long, text string"))
+        df = spark.createDataFrame([(i, f"card {digits(16)} order {digits(22)} key " + "hT9bQ2xW7cLm4RzK8vNp3Y") for i in range(200)], "doc_id long, text string")
+        assert {r[0] for r in secrets.scan(df, model).select(secrets.written(F.col("_spans"))).collect()} == {"markov:55:77"}
+
+
 def sentences(t):
     out, cur, start = [], [], None
     toks = list(WORD.finditer(t or ""))
@@ -438,6 +479,20 @@ def test_token_files_odd_keys(spark, tmp_path):
     assert [r.doc_id for r in got] == [None, None, 1, 3, 3] and [r.start for r in got][1:] == [sum(r.n_tokens for r in got[:i]) for i in range(1, 5)]
 
 
+def test_token_files_deal_a_key_of_many_texts(spark, tmp_path, library, monkeypatch):
+    """Rows that share a key, or have none, lie in many files and are counted through."""
+    monkeypatch.setattr(tokenfile, "partitions_for", lambda *_: 8)
+    rows = [(None, f"word {i} " * 20) for i in range(400)] + [(7, f"term {i} " * 20) for i in range(400)]
+    folder = str(tmp_path / "t")
+    tokenfile.write(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    files = spark.read.parquet(folder)
+    assert max(r["count"] for r in files.groupBy("part").count().collect()) < 300
+    got = tokenfile.read_back(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [7] * 400 and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got])[:-1])
+    sums = lambda t: zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes())
+    assert sorted(r.ids_crc32 for r in got) == sorted(sums(t) for _, t in rows)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(30, 16))
