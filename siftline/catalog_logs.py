@@ -10,6 +10,7 @@ from .functions import text as T
 from .operators import audit, literals, numbering, policy_table, scan
 from .sources import buckets, chains, folders
 from .streaming import chains as stream
+from .workers import dealt
 
 #: Metadata as it comes, and the canonical text that is hashed: floats, accents, nesting, a key that looks like the line's own.
 _ODD = """'{"n": ' || cast(event_id as string) || ', "big": 1e20, "at": {"é": [1.0, "ü\\\\n"]}, "previous_hash": {"x": -0.5}, "kind": "' || event_type || '"}'"""
@@ -61,7 +62,7 @@ def tenant_denials(spark, sf_dir):
     """Paths held against the glob rules of their own tenants, a seventh as many rules as paths."""
     k = F.col("p_partkey")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    part = _table(spark, sf_dir, "part")
+    part = dealt(_table(spark, sf_dir, "part"))
     inner, end = F.when(k % 5 == 0, "secrets/").when(k % 5 == 1, "k.pem/").otherwise(""), F.when(k % 3 == 0, ".key").when(k % 3 == 1, ".py").otherwise(".pem")
     paths = part.select(k.alias("id"), text("t", k % 20).alias("tenant"), text("dir", k % 37, "/", inner, "f", k, end).alias("path"))
     pattern = F.when(k % 6 == 0, text("dir", k % 37, "/*")).when(k % 6 == 1, text("*f", k, ".*")).when(k % 6 == 2, "**/secrets/**").when(k % 6 == 3, "*.key")

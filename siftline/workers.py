@@ -7,7 +7,7 @@ import gc
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -17,6 +17,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores, for work that is large beside a row's bytes: a file of many small rows is read by a few tasks, or one."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def give_back() -> None:
     """Return memory that a finished task has freed to the system: workers are reused, and allocators would keep it."""
     import pyarrow as pa

@@ -39,3 +39,22 @@ def test_many_rules_take_no_cross_join(spark):
     plan = found._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert found.count() == 50_000
+
+
+def test_rules_without_fixed_ends_take_few_pairs(spark):
+    """Globs between stars, behind sets and shared by many rules, met by their rarest run: pairs in proportion to paths."""
+    k = F.col("id")
+    kinds = F.when(k % 4 == 0, F.concat(F.lit("*f"), k, F.lit(".*"))).when(k % 4 == 1, "**/secrets/**").when(k % 4 == 2, F.concat(F.lit("dir?/[!a]"), k, F.lit("*"))).otherwise("*.key")
+    rules = spark.range(100_000, 102_000).select(F.lit("t").alias("tenant"), k.alias("rule"), kinds.alias("pattern"))
+    end = F.when(k % 2 == 0, ".key").otherwise(".py")
+    paths = spark.range(100_000, 102_000).select("id", F.lit("t").alias("tenant"), F.concat(F.lit("dir"), k % 7, F.when(k % 5 == 0, "/secrets").otherwise(""), F.lit("/f"), k, end).alias("path"))
+    want = lambda i: (i % 4 == 0) + 500 * (i % 5 == 0) + (i % 4 == 2 and i % 5 != 0) + 500 * (i % 2 == 0)
+    assert {r.id: r.n_rules for r in policy_table.denied(paths, rules).collect()} == {i: want(i) for i in range(100_000, 102_000)}
+    known = policy_table.compiled(rules.select("tenant", "pattern").distinct()).groupBy("way", "at", "needle").count()
+    assert known.agg(F.max("count")).first()[0] <= 20 and known.where("way = 'all'").isEmpty()
+
+
+def test_a_rule_of_several_patterns_counts_once(spark):
+    rules = spark.createDataFrame([("t", 1, "*.py"), ("t", 1, "a*"), ("t", 1, "a*"), ("t", 2, "a*"), ("t", None, "*p?"), ("t", None, "[a]*")], "tenant string, rule long, pattern string")
+    paths = spark.createDataFrame([(1, "t", "a.py"), (2, "t", "b.py"), (2, "t", "a"), (3, "t", "c")], "id long, tenant string, path string")
+    assert sorted((r.id, r.path, r.n_rules) for r in policy_table.denied(paths, rules).collect()) == [(1, "a.py", 3), (2, "a", 3), (2, "b.py", 3), (3, "c", 0)]
