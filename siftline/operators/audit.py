@@ -1,7 +1,8 @@
 """The event log: sanitised metadata, canonical JSON, SHA-256 chains, verification, export.
 
 An event's hash covers its fields and the hash before it, so that appending is a fold in order of sequence: chains run in
-parallel, each in order, and a task holds the last hash alone. Verifying needs no fold: every row is checked against its
+parallel, each in order, and a task holds the last hash alone. All else that a hash covers is put together before, in parallel. A chain
+of more than STEP events is appended in steps of so many, one after the other, so that no task sorts all of it. Verifying needs no fold: every row is checked against its
 neighbour and its own recomputed hash, by runs of the sequence, and the first failure is an aggregate.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import clip, utc_string
+from ..sources import folders
 from ..workers import ship
+from . import numbering
 
 # The first link, and metadata keys whose values are never stored.
 GENESIS = "0" * 64
@@ -114,6 +117,16 @@ def event_hash(event_id: Column, session_id: Column, timestamp: Column, event: C
     return F.sha2(F.concat(*_parts(event_id, session_id, timestamp, event, metadata, previous), F.lit("}")), 256)
 
 
+def _or_null(name: str) -> Column:
+    return F.coalesce(_quoted(F.col(name)), F.lit("null"))
+
+
+def own_hash() -> Column:
+    """The hash of an event in the columns of HASHED, whose metadata is canonical; null fields are JSON's null, as in `digest`."""
+    parts = _parts(*[F.col(name) for name in HASHED])
+    return F.sha2(F.concat(*[F.coalesce(p, F.lit("null")) for p in parts], F.lit("}")), 256)
+
+
 def digest(event_id: str, session_id: str, timestamp: str, event: str, metadata: str, previous: str) -> str:
     """The hash of one event on a worker; metadata is canonical already."""
     body = {"session_id": session_id, "timestamp": timestamp, "event": event, "event_id": event_id, "previous_hash": previous, "metadata": json.loads(metadata)}
@@ -128,34 +141,69 @@ def append(events: DataFrame, chain: str, seq: str, head: str = GENESIS, first:
     events: chain, seq, session_id, timestamp, event, metadata (JSON). A chain is as long as its longest session's log.
     """
 
-    names = [c.split()[0] for c in CHAIN.split(", ")]
     ship(events.sparkSession)
     rows = events.select(F.col(chain).alias("c"), F.col(seq).alias("s"), "session_id", "timestamp", "event", sanitized("metadata").alias("metadata"))
+    longest = events.groupBy(F.col(chain)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if heads is not None:
+        heads = heads.select(F.col("chain").alias("c"), "seq", "hash")
+    made = _chained(rows, head, first, heads) if longest <= STEP else _in_steps(rows, longest, head, first, heads)
+    return made.withColumnRenamed("c", chain)
+
+
+def _chained(rows: DataFrame, head: str, first: int, heads: DataFrame | None) -> DataFrame:
+    """(c, seq, and an event's fields) of rows (c, s, and what an event holds): one task a chain."""
     if heads is None:
         rows = rows.withColumns({"n": F.lit(first - 1).cast("long"), "h": F.lit(head)})
     else:
-        known = heads.select(F.col("chain").alias("_of"), F.col("seq").alias("n"), F.col("hash").alias("h"))
+        known = heads.select(F.col("c").alias("_of"), F.col("seq").alias("n"), F.col("hash").alias("h"))
         rows = rows.join(known, F.col("c").eqNullSafe(F.col("_of")), "left").drop("_of")
         rows = rows.withColumns({"n": F.coalesce("n", F.lit(first - 1)), "h": F.coalesce("h", F.lit(head))})
-    kind = events.schema[chain].dataType
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n, previous, begun = None, 0, head, False
         for batch in batches:
-            out = []
-            for d in batch.to_pylist():
-                if not begun or d["c"] != at:
-                    at, n, previous, begun = d["c"], d["n"], d["h"], True
+            seqs, ids, before, hashes = [], [], [], []
+            for c, start, h, lead, body, end in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 5))):
+                if not begun or c != at:
+                    at, n, previous, begun = c, start, h, True
                 n += 1
-                own = digest(f"evt_{n:06d}", d["session_id"], d["timestamp"], d["event"], d["metadata"], previous)
-                out.append((n, f"evt_{n:06d}", d["session_id"], d["timestamp"], d["event"], d["metadata"], previous, own))
-                previous = own
-            columns = [pa.array([r[i] for r in out], pa.int64() if i == 0 else pa.string()) for i in range(len(names) + 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["c", "seq", *names])
-
-    # A chain is in one partition and in order there, however long; only its last hash is held.
+                own = f"evt_{n:06d}"
+                seqs.append(n)
+                ids.append(own)
+                before.append(previous)
+                previous = hashlib.sha256(f"{lead}{own}{body}{previous}{end}".encode()).hexdigest()
+                hashes.append(previous)
+            made = {"c": batch.column(0), "seq": pa.array(seqs, pa.int64()), "event_id": pa.array(ids, pa.string())}
+            made |= {name: batch.column(name) for name in HASHED[1:5]} | {"previous_hash": pa.array(before, pa.string()), "hash": pa.array(hashes, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
+
+    # A chain is in one partition and in order there; only its last hash is held.
     dealt = rows.repartition("c").sortWithinPartitions("c", "s")
-    return dealt.mapInArrow(fold, f"c {kind.simpleString()}, seq long, {CHAIN}").withColumnRenamed("c", chain)
+    lead = F.concat(F.lit('{"event":'), _or_null("event"), F.lit(',"event_id":"'))
+    body = F.concat(F.lit('","metadata":'), F.col("metadata"), F.lit(',"previous_hash":"'))
+    end = F.concat(F.lit('","session_id":'), _or_null("session_id"), F.lit(',"timestamp":'), _or_null("timestamp"), F.lit("}"))
+    parts = dealt.select("c", "n", "h", lead.alias("lead"), body.alias("body"), end.alias("end"), *HASHED[1:5])
+    return parts.mapInArrow(fold, f"c {rows.schema['c'].dataType.simpleString()}, seq long, {CHAIN}")
+
+
+#: Events of a chain that one task sorts and chains.
+STEP = 1_000_000
+
+
+def _in_steps(rows: DataFrame, longest: int, head: str, first: int, heads: DataFrame | None) -> DataFrame:
+    """The same for long chains: the events of each chain that are its first STEP, then the next ones, taken up at the last hashes.
+
+    What comes between is written below the shared folder; only the number of events is known to the driver.
+    """
+    spark = rows.sparkSession
+    dealt, out = folders.shared(spark, "steps"), folders.shared(spark, "chained")
+    numbered = numbering.numbered_rows(rows, ["c"], ["s"]).withColumn("_step", F.floor((F.col("n") - 1) / STEP).cast("int")).drop("n")
+    numbered.write.partitionBy("_step").parquet(dealt)
+    for i in range(-(-longest // STEP)):
+        made = _chained(spark.read.schema(rows.schema).parquet(f"{dealt}/_step={i}"), head, first, heads)
+        made.write.parquet(f"{out}/{i}")
+        heads = spark.read.schema(made.schema).parquet(f"{out}/{i}").groupBy("c").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+    return spark.read.schema(made.schema).parquet(*[f"{out}/{k}" for k in range(i + 1)])
 
 
 #: Events of a run: what one task looks at in order when a chain is verified.

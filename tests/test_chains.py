@@ -165,3 +165,19 @@ def test_denied_files_are_never_opened_and_unreadable_ones_dont_count(spark, tmp
     monkeypatch.undo()
     files = spark.createDataFrame([("a.py", None, None), ("b.py", 9, b"x"), ("c.py", 9, b"y z"), (".env", None, None)], "path string, size long, content binary")
     assert {r.path: (r.classification, r.n_tokens) for r in tree.manifest(files, max_files=2).collect()} == {"a.py": ("unreadable", 0), "b.py": ("scanned", 1), "c.py": ("scanned", 2), ".env": ("denied", 0)}
+
+
+def test_one_long_chain_is_appended_in_steps(spark, monkeypatch):
+    """Steps give the chains of one task each, null fields and heads included, and no task sorts more than a step of a chain."""
+    rows = [(i, "a" if i % 5 else None, None if i % 7 == 0 else f"s{i % 3}", "2026-01-01T00:00:00Z", 'e"\u00e9', f'{{"n": {i}}}' if i % 4 else None) for i in range(230)]
+    events = spark.createDataFrame(rows, "n long, chain string, session_id string, timestamp string, event string, metadata string")
+    heads = spark.createDataFrame([("a", 41, "f" * 64)], "chain string, seq long, hash string")
+    for known in (None, heads):
+        plain = sorted(map(tuple, audit.append(events, "chain", "n", heads=known).collect()), key=str)
+        with monkeypatch.context() as m:
+            m.setattr(audit, "STEP", 50)
+            steps = audit.append(events, "chain", "n", heads=known)
+            assert sorted(map(tuple, steps.collect()), key=str) == plain
+            assert "Sort" not in steps._jdf.queryExecution().executedPlan().toString()
+    for _, seq, event_id, session, at, event, metadata, previous, own in plain:
+        assert own == audit.digest(event_id, session, at, event, metadata, previous)
