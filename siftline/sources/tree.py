@@ -104,17 +104,19 @@ def _classified(files: DataFrame, deny: list[str] | None, max_bytes: int) -> Dat
 
 def _limited(df: DataFrame, max_files: int) -> DataFrame:
     """What would be scanned beyond the least max_files paths is over_limit."""
+    # No filters: they would be put before a repartition of the files, and be worked out where those are read.
+    scanned = F.col("classification") == "scanned"
     # A top-k where there are more, not a sort of all files in one task.
-    if df.where("classification = 'scanned'").count() > max_files:
-        last = df.where("classification = 'scanned'").select("path").orderBy("path").limit(max_files).agg(F.max("path")).first()[0]
-        over = (F.col("classification") == "scanned") & (F.col("path") > F.coalesce(F.lit(last), F.lit("")))
+    if df.agg(F.count_if(scanned)).first()[0] > max_files:
+        last = df.select(F.when(scanned, F.col("path")).alias("path")).orderBy(F.asc_nulls_last("path")).limit(max_files).agg(F.max("path")).first()[0]
+        over = scanned & (F.col("path") > F.coalesce(F.lit(last), F.lit("")))
         df = df.withColumn("classification", F.when(over, "over_limit").otherwise(F.col("classification")))
     return df
 
 
 def _described(df: DataFrame) -> DataFrame:
     scanned = F.col("classification") == "scanned"
-    df = df.withColumns({"text": F.when(scanned, decoded("content")), "content_hash": F.when(scanned, F.sha2("content", 256))})
+    df = df.withColumns({"text": F.when(scanned, decoded(F.when(scanned, F.col("content")))), "content_hash": F.when(scanned, F.sha2("content", 256))})
     return df.withColumn("n_tokens", F.when(scanned, n_tokens(F.col("text"))).otherwise(0)).drop("content")
 
 
