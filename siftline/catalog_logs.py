@@ -26,8 +26,7 @@ _CANONICAL = """'{"at":{"\\u00e9":[1.0,"\\u00fc\\n"]},"big":1e+20,"kind":"' || e
 def chain_log(spark, sf_dir):
     """A log of a chain per session, appended twice in files, read and verified from them."""
     log = chains.ChainLog(spark, folders.shared(spark, "log"))
-    events = _log(spark, sf_dir).drop("metadata").withColumnRenamed("n", "event_id").join(_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
-    events = events.withColumn("metadata", F.expr(_ODD))
+    events = _log(spark, sf_dir, "event_type").withColumnRenamed("n", "event_id").withColumn("metadata", F.expr(_ODD))
     half = events.agg(F.avg("event_id")).first()[0] or 0
     for part in (F.col("event_id") <= half, F.col("event_id") > half):
         log.append(events.where(part), "event_id")
@@ -39,7 +38,7 @@ def stream_chains(spark, sf_dir):
     """The chains of all users verified as a stream of files whose events come in no order, in two batches."""
     folder = folders.shared(spark, "stream")
     log = audit.append(_log(spark, sf_dir), "user_id", "n")
-    log.repartition(4, F.xxhash64("hash")).write.parquet(f"{folder}/in")
+    log.repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("hash")).write.parquet(f"{folder}/in")
     half = -(-len(spark.read.parquet(f"{folder}/in").inputFiles()) // 2)
     events = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", max(1, half)).parquet(f"{folder}/in")
 
