@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -31,3 +32,11 @@ def test_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["pii_spans", "redact_default", "redact_overlaps", "file_manifest", "scan_totals", "source_literals", "gate_outputs"])
+def test_rows_of_small_files_are_dealt(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # Right above the columns that are read, with no work below.
+    assert re.search(r"Repartition \d+, true\n\W*Project \[[^\]]*\]\n\W*Relation", plan), plan
