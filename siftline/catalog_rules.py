@@ -10,6 +10,7 @@ from .functions import rules as R
 from .operators import audit, paths, policy, redact, report, scan, session
 from .plans import files as file_plans
 from .plans import gate
+from .sources import folders
 from .workers import dealt
 
 
@@ -151,7 +152,11 @@ SELECT user_id, CAST(kept AS BIGINT) AS n_events, NOT changed AND NOT dropped AN
 FROM k WHERE kept > 0""")
 def audit_tampered(spark, sf_dir):
     """Chains of sessions with odd names: as written, with an event changed, one dropped, and cut off at the end."""
-    log = audit.append(_log(spark, sf_dir).withColumn("session_id", F.concat(F.lit(ODD), "session_id")), "user_id", "n")
+    made = audit.append(_log(spark, sf_dir).withColumn("session_id", F.concat(F.lit(ODD), "session_id")), "user_id", "n")
+    # Written, as heads and events are taken from it: chains are made once.
+    path = folders.shared(spark, "tampered")
+    made.write.parquet(path)
+    log = spark.read.schema(made.schema).parquet(path)
     heads = log.groupBy("user_id").agg(F.max_by("hash", "seq").alias("audit_head"), F.max("seq").alias("last"))
     way, seq = F.col("user_id") % 4, F.col("seq")
     bad = log.join(heads.select("user_id", "last"), "user_id").where(~((way == 2) & (seq == 2)) & ~((way == 3) & (seq == F.col("last"))))

@@ -92,9 +92,9 @@ def _escaped(c: Column) -> Column:
 
 
 def _quoted(c: Column) -> Column:
-    """A JSON string literal in ASCII. Only texts that need an escape are taken apart."""
-    chars = F.regexp_extract_all(c, F.lit("(?s)(.)"), F.lit(1))
-    body = F.when(c.rlike(r'[^\x20-\x7e]|["\\]'), F.array_join(F.transform(chars, _escaped), "")).otherwise(c)
+    """A JSON string literal in ASCII. Only texts that need an escape are taken apart, into runs that need none and single characters."""
+    parts = F.regexp_extract_all(c, F.lit(r'(?s)([\x20\x21\x23-\x5b\x5d-\x7e]+|.)'), F.lit(1))
+    body = F.when(c.rlike(r'[^\x20-\x7e]|["\\]'), F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, p).otherwise(_escaped(p))), "")).otherwise(c)
     return F.concat(F.lit('"'), body, F.lit('"'))
 
 
@@ -214,29 +214,37 @@ def verify(log: DataFrame, chain: list[str] | None = None, seq: str = "seq", hea
     """Per chain: n_events, ok, message and head (the last good hash before a failure).
 
     Links are checked before hashes. A cut-off tail can only be seen against heads: rows of the chain's columns and
-    audit_head, the last hash that a session stored. A chain is cut into runs of RUN numbers of its sequence; the hash
-    before a run's first event comes from the last row of the run before. first: the hash before a chain's first event,
+    audit_head, the last hash that a session stored. A chain is cut into runs of RUN numbers of its sequence; the log is read once and
+    dealt by runs, each run leaves one row, and its first event is held against the last hash of the run before. first: the hash before a chain's first event,
     where a log is a part of a longer one.
     """
     keys = chain or []
     cols = [F.col(c) for c in ("event_id", "session_id", "timestamp", "event")]
     rows = log.withColumn("_run", F.floor(F.col(seq) / RUN))
     over = Window.partitionBy(*keys, "_run").orderBy(seq)
-    ends = rows.groupBy(*keys, "_run").agg(F.max_by("hash", seq).alias("_last"))
-    # One row per run goes through this window.
-    ends = ends.withColumn("_last", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run"))).where("_last IS NOT NULL")
-    rows = rows.withColumn("_before", F.lag("hash").over(over))
-    linked = rows.join(ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_run").alias("_of"), "_last"),
-                       [(F.col("_run") == F.col("_of")), *[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]], "left")
-    rows = linked.withColumn("_before", F.coalesce("_before", "_last", F.lit(GENESIS) if first is None else first))
+    start = F.lit(GENESIS) if first is None else first
+    rows = rows.withColumns({"_before": F.lag("hash").over(over), "_place": F.row_number().over(over), "_start": start})
     rows = rows.withColumn("_own", event_hash(*cols, F.col("metadata"), F.col("previous_hash")))
-    bad = F.when(~F.col("previous_hash").eqNullSafe(F.col("_before")), "invalid previous_hash").when(~F.col("hash").eqNullSafe(F.col("_own")), "invalid hash")
-    rows = rows.withColumn("_bad", bad)
-    worst = F.min(F.when(F.col("_bad").isNotNull(), F.struct(F.col(seq), F.concat(F.lit("Event "), F.coalesce("event_id", F.lit("without id")), F.lit(" has "), "_bad").alias("message"), F.col("_before").alias("head"))))
-    found = rows.groupBy(*keys).agg(F.count("*").alias("n_events"), worst.alias("_f"), F.max_by("hash", seq).alias("_head"))
+    at = F.concat(F.lit("Event "), F.coalesce("event_id", F.lit("without id")), F.lit(" has "))
+
+    def failed(link: Column, fine: Column, seq: Column, at: Column, before: Column) -> Column:
+        wrong = F.when(~link, "invalid previous_hash").when(~fine, "invalid hash")
+        return F.when(wrong.isNotNull(), F.struct(seq.alias("seq"), F.concat(at, wrong).alias("message"), before.alias("head")))
+
+    before, fine = F.coalesce("_before", "_start"), F.col("hash").eqNullSafe(F.col("_own"))
+    inner = F.when(F.col("_place") > 1, failed(F.col("previous_hash").eqNullSafe(before), fine, F.col(seq), at, before))
+    begin = F.struct(F.col(seq).alias("seq"), at.alias("at"), F.col("previous_hash").alias("previous"), F.col("_start").alias("start"), fine.alias("fine"))
+    # A run's rows are in one partition and in order already: one row per run is left, and goes through the next window.
+    ends = rows.groupBy(*keys, "_run").agg(
+        F.count("*").alias("_n"), F.min(inner).alias("_worst"), F.min_by(begin, "_place").alias("_b"), F.max_by("hash", seq).alias("_last"))
+    before = F.coalesce(F.lag("_last").over(Window.partitionBy(*keys).orderBy("_run")), F.col("_b.start"))
+    ends = ends.withColumn("_before", before)
+    opening = failed(F.col("_b.previous").eqNullSafe(F.col("_before")), F.col("_b.fine"), F.col("_b.seq"), F.col("_b.at"), F.col("_before"))
+    ends = ends.withColumn("_worst", F.coalesce(opening, "_worst"))
+    found = ends.groupBy(*keys).agg(F.sum("_n").alias("n_events"), F.min("_worst").alias("_f"), F.max_by("_last", "_run").alias("_head"))
     found = found.select(
-        *keys, "n_events", F.col("_f").isNull().alias("ok"),
-        F.coalesce("_f.message", F.concat(F.col("n_events").cast("string"), F.lit(" audit events verified"))).alias("message"),
+        *keys, F.coalesce("n_events", F.lit(0)).alias("n_events"), F.col("_f").isNull().alias("ok"),
+        F.coalesce("_f.message", F.concat(F.coalesce("n_events", F.lit(0)).cast("string"), F.lit(" audit events verified"))).alias("message"),
         F.coalesce("_f.head", "_head", F.lit(GENESIS)).alias("head"),
     )
     if heads is None:

@@ -181,3 +181,18 @@ def test_one_long_chain_is_appended_in_steps(spark, monkeypatch):
             assert "Sort" not in steps._jdf.queryExecution().executedPlan().toString()
     for _, seq, event_id, session, at, event, metadata, previous, own in plain:
         assert own == audit.digest(event_id, session, at, event, metadata, previous)
+
+
+def test_a_log_is_verified_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(audit, "RUN", 7)
+    rows = spark.range(40).select((F.col("id") % 2).alias("c"), "id", F.lit('s\u00e9"\\ x').alias("session_id"), F.lit("t\n\x7f").alias("timestamp"), F.lit("finding").alias("event"), F.lit("{}").alias("metadata"))
+    log = audit.append(rows, "c", "id").localCheckpoint()
+    plan = audit.verify(log, ["c"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    assert [(r.n_events, r.ok) for r in audit.verify(log, ["c"]).collect()] == [(20, True)] * 2
+    for k in (6, 7, 8):
+        bad = audit.verify(log.where(f"NOT (c = 0 AND seq = {k})"), ["c"]).where("NOT ok").collect()
+        head = log.where(f"c = 0 AND seq = {k - 1}").first().hash
+        assert [(r.n_events, r.message, r.head) for r in bad] == [(19, f"Event evt_{k + 1:06d} has invalid previous_hash", head)]
+        changed = log.withColumn("event", F.when((F.col("c") == 1) & (F.col("seq") == k), "x").otherwise(F.col("event")))
+        assert [r.message for r in audit.verify(changed, ["c"]).where("NOT ok").collect()] == [f"Event evt_{k:06d} has invalid hash"]
