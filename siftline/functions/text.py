@@ -18,22 +18,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
+def spans(text: Column, pattern: str, maybe: Column | None = None, then=None, kind: str = SPAN) -> Column:
     """Code-point spans of the leftmost non-overlapping matches of a Java pattern, in order; empty for null.
 
-    Texts without a match cost one search, or only maybe (a cheaper test that every match passes) where it is false.
-    Classes and word boundaries follow Unicode.
+    Texts without a match cost one search, or only maybe (a cheaper test that every match passes) where it is false. then: what is
+    made of the spans (an array, of type kind), worked out for texts with a match alone. Classes and word boundaries follow Unicode.
     """
     pattern = f"(?U){pattern}"
-    plain = F.translate(text, _S + _E, "\ufffd\ufffd")
+    plain = F.when(text.contains(_S) | text.contains(_E), F.translate(text, _S + _E, "\ufffd\ufffd")).otherwise(text)
     marked = F.regexp_replace(plain, F.lit(f"(?:{pattern})"), F.lit(f"{_S}$0{_E}"))
 
     none = F.array().cast(SPAN)
     size = lambda part: F.length(part) - part.contains(_E).cast("int")
 
+    def span(at: Column, part: Column) -> Column:
+        return F.struct(at.alias("start"), (at + F.length(F.substring_index(part, _E, 1))).alias("end"))
+
     def step(state: Column, part: Column) -> Column:
-        end = state["at"] + F.length(F.substring_index(part, _E, 1))
-        found = F.when(part.contains(_E), F.concat(state["found"], F.array(F.struct(state["at"].alias("start"), end.alias("end"))))).otherwise(state["found"])
+        found = F.when(part.contains(_E), F.concat(state["found"], F.array(span(state["at"], part)))).otherwise(state["found"])
         return F.struct((state["at"] + size(part)).alias("at"), found.alias("found"))
 
     # Spans are gathered chunk by chunk, each from the length of what lies before it: a fold copies its state at every step.
@@ -44,8 +46,13 @@ def spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
             lambda before: F.flatten(F.transform(chunks, lambda c, i: F.aggregate(c, begin(F.get(before, i)), step, lambda s: s["found"]))),
         )
 
+    # Most texts with a match have one.
+    def found(parts: Column) -> Column:
+        return F.when(F.size(parts) == 2, F.array(span(F.length(F.get(parts, F.lit(0))), F.get(parts, F.lit(1))))).otherwise(let(chunked(parts), gathered))
+
     hit = text.rlike(pattern) if maybe is None else maybe & text.rlike(pattern)
-    return F.when(hit, let(let(F.split(marked, _S), chunked), gathered)).otherwise(none)
+    made = let(F.split(marked, _S), found)
+    return F.when(hit, made if then is None else then(made)).otherwise(F.array().cast(kind))
 
 
 def chunked(values: Column) -> Column:
@@ -63,7 +70,8 @@ def blocks(text: Column) -> Column:
 
     Keep it in a column of its own: expressions over it are evaluated per piece.
     """
-    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+    several = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{BLOCK}}})"), F.lit(1))
+    return F.when(F.length(text).between(1, BLOCK), F.array(text)).otherwise(several)
 
 
 def piece(block: Column, start: Column, end: Column) -> Column:

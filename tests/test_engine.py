@@ -400,3 +400,16 @@ def test_a_text_with_very_many_findings(spark):
     out = redact.redact(scan.scan(spark.createDataFrame([(body,)], "text string"))).select("redacted_text", "replacements_count").first()
     assert out.replacements_count == 30_000 and out.redacted_text == "\n".join(f"[EMAIL_{i + 1}]" for i in range(30_000))
     assert time.time() - began < 90
+
+
+def test_spans_are_worked_out_for_hits_alone(spark):
+    """A rule's spans are behind its search, not in front of it; a text without an origin is untrusted, as before."""
+    df = spark.createDataFrame([("mail a@b.co", None), ("send it externally", None), ("send it externally", "prompt"), (None, None), ("", "prompt")], "text string, who string")
+    out = scan.scan(df, origin=F.col("who"))
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        plan = out._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert "THEN transform(" in plan and "transform(CASE WHEN" not in plan and "filter(CASE WHEN" not in plan
+    assert [[(f.start, f.end) for f in r.findings] for r in out.collect()] == [[(5, 11)], [(0, 18)], [], [], []]
