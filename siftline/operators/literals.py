@@ -78,6 +78,11 @@ def _by_language(language: Column, value) -> Column:
     return F.when(language == "python", value("python")).when(language.isin("javascript", "typescript"), value("javascript"))
 
 
+def _count(text: Column, language: str) -> Column:
+    """Comments and literals of a text; none for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(f"(?U){TOKENS[language][0]}")), F.lit(0))
+
+
 def redact(scanned: DataFrame, language: Column, text: str = "text", mode: str = "sensitive") -> DataFrame:
     """scanned rows with redacted_text, replacements_count (runs replaced), n_outside (findings without a literal) and in_literals
     (false: the text was redacted as plain text, and n_outside is null)."""
@@ -87,11 +92,13 @@ def redact(scanned: DataFrame, language: Column, text: str = "text", mode: str =
         F.struct(F.lit(r.type).alias("type"), F.lit(r.name).alias("name"), F.lit(R.SEVERITIES.index(r.severity)).alias("rank"), F.lit(plain._prefix(r)).alias("prefix"), F.lit(plain._wanted(r, mode)).alias("wanted"))
         for r in R.TEXT_RULES
     ])
-    df = plain.redact(scanned, text, mode).select(*[F.col(f"`{c}`") for c in scanned.columns], F.col("redacted_text").alias("_plain"), F.col("replacements_count").alias("_plain_n"))
-    df = df.withColumns({"_language": language, "_lit_blocks": T.blocks(t)})
-    df = df.withColumn("_runs", _by_language(F.col("_language"), lambda name: runs(t, b, name)))
     asked = F.filter(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.get(about, f["rule"]).alias("r"))), lambda f: f["r"]["wanted"])
-    df = df.withColumn("_wanted", asked)
+    df = plain.redact(scanned, text, mode).select(*[F.col(f"`{c}`") for c in scanned.columns], F.col("redacted_text").alias("_plain"), F.col("replacements_count").alias("_plain_n"))
+    df = df.withColumns({"_language": language, "_wanted": asked})
+    # A text without findings isn't taken apart.
+    some = F.size("_wanted") > 0
+    df = df.withColumn("_lit_blocks", F.when(some, T.blocks(t)))
+    df = df.withColumn("_runs", F.when(some, _by_language(F.col("_language"), lambda name: runs(t, b, name))))
     of = lambda c, name: F.transform(c, lambda s: s[name])
     df = df.withColumn("_at", _within(*[of(c, name) for c in ("_wanted", "_runs") for name in ("start", "end")]))
     df = df.withColumn("_asked", F.zip_with("_wanted", "_at", lambda f, w: F.struct(f.alias("f"), w.alias("w"), (w["b"] > w["a"]).alias("met"))))
@@ -113,8 +120,8 @@ def redact(scanned: DataFrame, language: Column, text: str = "text", mode: str =
     spliced = F.concat(F.array_join(put, ""), F.substr(t, F.element_at("_edits", -1)["end"] + 1))
     df = df.withColumn("_new", F.when(F.size("_edits") > 0, spliced).otherwise(t))
     # Literals are counted again in what came out; where their number isn't the same, the text isn't trusted.
-    count = lambda c: _by_language(F.col("_language"), lambda name: F.size(T.spans(c, TOKENS[name][0])))
-    df = df.withColumn("in_literals", F.coalesce(count(F.col("_new")) == count(t), F.lit(False)))
+    same = _by_language(F.col("_language"), lambda name: (F.size("_edits") == 0) | (_count(F.col("_new"), name) == _count(t, name)))
+    df = df.withColumn("in_literals", F.coalesce(same, F.lit(False)))
     fine = F.col("in_literals")
     return df.withColumns({
         "redacted_text": F.when(fine, F.col("_new")).otherwise(F.col("_plain")), "replacements_count": F.when(fine, F.size("_edits")).otherwise(F.col("_plain_n")),
