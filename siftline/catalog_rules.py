@@ -64,7 +64,7 @@ def document_injections(spark, sf_dir):
 @_query(_spans_sql(IN_COMMANDS, "documents", R.COMMANDS))
 def document_commands(spark, sf_dir):
     """Findings of the command guard in every document, all its rules."""
-    found = scan.scan_command(_texts(spark, sf_dir, "documents", IN_COMMANDS), ["id"])
+    found = scan.scan_command(_texts(spark, sf_dir, "documents", IN_COMMANDS), ["id"], ascii_words=True)
     return found.select("id", "type", "rule", "severity", "start", "end")
 
 
@@ -81,7 +81,7 @@ def semantic_trusted(spark, sf_dir):
     t = _texts(spark, sf_dir, "documents", IN_PROSE)
     ways = {"n_trusted": ("prompt", None), "n_untrusted": ("context:page", None), "n_with_path": ("prompt", F.lit("a.md"))}
     for name, (origin, path) in ways.items():
-        t = scan.scan(t, "text", origin, path, R.SEMANTIC).withColumn(name, F.size("findings").cast("long")).drop("findings", scan.SOURCE)
+        t = scan.scan(t, "text", origin, path, R.SEMANTIC, ascii_words=True).withColumn(name, F.size("findings").cast("long")).drop("findings", scan.SOURCE)
     return t.select("id", *ways)
 
 
@@ -94,7 +94,7 @@ SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY start, "end", ord) A
   (length(text[1:start]) - length(replace(text[1:start], chr(10), '')) + 1)::INT AS line, action AS recommended_action FROM f""")
 def finding_order(spark, sf_dir):
     """The public view of findings in the order of reports."""
-    found = scan.listed(scan.scan(_texts(spark, sf_dir, "documents", IN_BOTH), "text", "prompt", rules=_ORDERED), ["id"], rules=_ORDERED)
+    found = scan.listed(scan.scan(_texts(spark, sf_dir, "documents", IN_BOTH), "text", "prompt", rules=_ORDERED, ascii_words=True), ["id"], rules=_ORDERED)
     return scan.public(scan.ordered(found, ["id"]), ["id", "position"]).select("id", "position", "type", "severity", "rule", "origin", "path", "line", "recommended_action")
 
 
